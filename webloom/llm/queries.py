@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import contributors, copies, site_lines, terms
+from webloom.llm import contributors, copies, leaks, site_lines, terms
 from webloom.sources.tables import read_table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,15 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return copies.address_copies(t(spark, d, "discovery"), "id").groupBy("first_id").agg(F.max("copies").alias("copies"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(t(spark, d, "documents"), t(spark, d, "benchmark")).where("exact_words > 0").select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.find_leaks(t(spark, d, "documents"), t(spark, d, "benchmark"))
+    return found.groupBy("item_id").agg(F.count_if(F.expr("exact_words > 0")).alias("exact_documents"), F.count_if(F.expr("exact_words = 0")).alias("template_documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_frequencies": p1_frequencies,
@@ -59,6 +68,8 @@ QUERIES: dict[str, Query] = {
     "p3_sampled": p3_sampled,
     "p7_found": p7_found,
     "p7_counts": p7_counts,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
 }
 
 _TERMS = r"""
@@ -104,5 +115,11 @@ c AS (SELECT s.*, CASE WHEN r.site IS NOT NULL THEN greatest(3, n.n // 50) ELSE
 SELECT doc_id FROM c WHERE place > cap""",
     "p7_found": "WITH r AS (SELECT 'discovery' AS tbl, id, uri FROM discovery UNION ALL SELECT 'documents', doc_id, uri FROM documents)," + _ADDRESS
     + "SELECT y.tbl, g.first_id, y.id AS copy_id FROM y JOIN g USING (tbl, path, parameters) WHERE y.id <> g.first_id",
+    "p9_found": r"""
+WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM b WHERE len(w) > 11)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+x AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) > 11))
+SELECT DISTINCT doc_id, item_id FROM x JOIN i USING (g)""",
     "p7_counts": "WITH r AS (SELECT 'discovery' AS tbl, id, uri FROM discovery)," + _ADDRESS + "SELECT first_id, copies FROM g",
 }
