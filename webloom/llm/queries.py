@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import contributors, copies, leaks, site_lines, terms
+from webloom.llm import contributors, copies, leaks, linetree, site_lines, terms
 from webloom.sources.tables import read_table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,15 @@ def p3_sampled(spark: SparkSession, d: str) -> DataFrame:
     return contributors.sampled_pages(t(spark, d, "documents"), t(spark, d, "domains"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return linetree.furniture_lines(t(spark, d, "documents"))
+
+
+def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
+    bodies = linetree.main_bodies(t(spark, d, "documents").select("doc_id", "uri", "domain", "title", "doc_text"))
+    return bodies.select("doc_id", F.length("body").alias("body_chars"), F.length("doc_text").alias("page_chars"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     one = copies.address_copies(t(spark, d, "discovery"), "id").select(F.lit("discovery").alias("tbl"), "first_id", "copy_id")
     return one.unionByName(copies.address_copies(t(spark, d, "documents"), "doc_id").select(F.lit("documents").alias("tbl"), "first_id", "copy_id"))
@@ -66,6 +75,8 @@ QUERIES: dict[str, Query] = {
     "p2_clean": p2_clean,
     "p3_found": p3_found,
     "p3_sampled": p3_sampled,
+    "p5_found": p5_found,
+    "p5_bodies": p5_bodies,
     "p7_found": p7_found,
     "p7_counts": p7_counts,
     "p9_found": p9_found,
