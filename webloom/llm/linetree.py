@@ -39,6 +39,7 @@ _DATE = (
 )
 #: Longer lines keep their numbers in the content node; a notice of that length is repeated as it is.
 LONG = 400
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Parts of a hot (site, node) pair or site that are joined apart.
 SALTS = 8
 
@@ -50,43 +51,54 @@ ADHERENCE = 0.1
 
 def bare_line(line: Column) -> Column:
     """A line without surrounding blanks, list and quotation markers, and trailing dots of ellipsis."""
-    return F.regexp_replace(line, rf"^[{SPACE}>*•+»\-]+|[{SPACE}]*(?:\.\.\.|…)?[{SPACE}]*$", "")
+    bare = F.rtrim(F.ltrim(line, F.lit(BLANKS + ">*•+»-")), F.lit(BLANKS))
+    return F.when(bare.endswith("...") | bare.endswith("…"), F.regexp_replace(bare, rf"[{SPACE}]*(?:\.\.\.|…)$", "")).otherwise(bare)
 
 
-def _squeeze(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, rf"[{SPACE}]+", " "), r"^[ .!]+|[ .!]+$", "")
+def _plain(text: Column) -> Column:
+    """Lower case without blanks, so that spacing makes no difference."""
+    low = F.lower(text)
+    return F.rtrim(F.replace(F.when(low.rlike(r"[\t\x{a0}]"), F.regexp_replace(low, rf"[{SPACE}]+", "")).otherwise(low), F.lit(" "), F.lit("")), F.lit(".!"))
+
+
+def _masked_numbers(text: Column) -> Column:
+    return F.when(text.rlike(r"\d"), F.regexp_replace(F.regexp_replace(text, _MONTH, "#"), r"\d+", "#")).otherwise(text)
 
 
 def content_key(bare: Column) -> Column:
     """The content node: lower case, numbers and month names masked, tag lists reduced to their label."""
-    low = F.lower(bare)
-    masked = F.when((F.length(bare) <= LONG) & low.rlike(r"\d"), F.regexp_replace(F.regexp_replace(low, _MONTH, "#"), r"\d+", "#")).otherwise(low)
-    tags = low.rlike(r"^(?:[\p{L} ]{1,20}: *)?#?[\p{L}\-' ]{1,30}(?: #[\p{L}\-' ]{1,30})+$") | low.rlike(r"^[\p{L}]+(?: [\p{L}]+)?: *[\p{L}\-' ]{1,30}(?:(?:, | / )[\p{L}\-' ]{1,30})+$")
-    label = F.concat(F.lit("#tags "), F.regexp_extract(low, r"^([\p{L} ]{1,20}:)", 1))
-    return F.when((F.length(bare) <= 200) & tags, label).otherwise(_squeeze(masked))
+    length = F.length(bare)
+    # a tag list has no sentence and several of its separators
+    tags = bare.rlike(r"^(?:[\p{L} ]{1,20}: *)?[\p{L}\-' ]{1,30}(?:(?: #| / )[\p{L}\-' ]{1,30})+$") | bare.rlike(r"^[\p{L}]+(?: [\p{L}]+)?: *[\p{L}\-' ]{1,30}(?:(?:, | / )[\p{L}\-' ]{1,30})+$")
+    label = F.concat(F.lit("#tags "), F.lower(F.regexp_extract(bare, r"^([\p{L} ]{1,20}:)", 1)))
+    listed = (length <= 160) & bare.rlike(r" #| / |^[\p{L} ]{1,20}:.*,")
+    return F.when(listed & tags, label).when(length <= LONG, _plain(_masked_numbers(bare))).otherwise(_plain(bare))
+
+
+def has_names(bare: Column) -> Column:
+    """Whether masking names can tell anything: not shouted, not long, a capital after the first word."""
+    return (F.length(bare) <= 160) & bare.rlike(r"\p{Ll}.* \p{Lu}|^\p{Lu}[\p{L}']* \p{Lu}.*\p{Ll}")
 
 
 def masked_key(bare: Column) -> Column:
-    """The content node with its names masked: capitalised words after the first, and a leading run of several; null for shouted or long lines."""
-    text = F.regexp_replace(bare, r"\d+", "#")
-    text = F.regexp_replace(text, r"^(?:\p{Lu}[\p{L}']*\s+)+\p{Lu}[\p{L}']*", "_")
-    text = F.regexp_replace(text, r"(?<=\s)\p{Lu}[\p{L}']*(?:\s+\p{Lu}[\p{L}']*)*", "_")
-    return F.when((F.length(bare) <= 160) & bare.rlike(r"\p{Ll}") & bare.rlike(r"\s"), _squeeze(F.lower(text)))
+    """The content node with its names masked: capitalised words after the first, and a leading run of several."""
+    text = F.regexp_replace(bare, r"^(?:\p{Lu}[\p{L}']* +)+\p{Lu}[\p{L}']*|(?<= )\p{Lu}[\p{L}']*(?: +\p{Lu}[\p{L}']*)*", "_")
+    return _plain(F.regexp_replace(text, r"\d+", "#"))
 
 
 def is_dated(bare: Column) -> Column:
     """A date with eight other words at most, and no sentence."""
     other = F.regexp_replace(bare, _DATE, "")
-    few = F.size(F.filter(F.split(other, rf"[{SPACE}]+"), lambda w: w != "")) <= 8
-    return F.when((F.length(bare) <= 140) & bare.rlike(r"\d{4}"), (other != bare) & few & ~other.rlike(r"\.\s*$")).otherwise(False)
+    few = F.size(F.filter(F.split(other, " +"), lambda w: w != "")) <= 8
+    return F.when((F.length(bare) <= 140) & bare.rlike(r"\d{4}"), (other != bare) & few & ~other.endswith(".")).otherwise(False)
 
 
 def _target_parts(bare: Column) -> Column:
     """What a line may point to besides itself: the text after a label, and the last crumb."""
     short = (F.length(bare) <= 200) & bare.rlike(r"[:«»>/›]")
-    after = F.regexp_replace(bare, rf"^[«{SPACE}]*[^:]{{1,20}}:[{SPACE}]*|^[«{SPACE}]+|[{SPACE}]*»[{SPACE}]*$", "")
+    after = F.regexp_replace(bare, r"^[« ]*[^:]{1,20}:\s*|^[« ]+|\s*»\s*$", "")
     crumb = F.regexp_extract(bare, r"^.* (?:>|/|»|›) (.+)$", 1)
-    keys = F.array(_squeeze(F.lower(F.regexp_replace(after, r"\d+", "#"))), _squeeze(F.lower(F.regexp_replace(crumb, r"\d+", "#"))))
+    keys = F.array(content_key(after), content_key(crumb))
     return F.when(short, F.filter(keys, lambda k: k != "")).otherwise(F.array().cast("array<string>"))
 
 
@@ -104,11 +116,11 @@ def line_nodes(documents: DataFrame, statistics: dict[str, Column] | None = None
     """doc_id, line_no, host, page, node, masked, targets, dated of every non-blank line, and statistics: expressions over ``line`` and ``bare``."""
     pages = page_hosts(documents, "doc_text").where("doc_text is not null")
     lines = pages.select("doc_id", "host", "page", F.posexplode(F.split("doc_text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.col("line").rlike(f"[^{SPACE}]")).withColumn("bare", bare_line(F.col("line")))
+    lines = lines.where(F.trim(F.col("line"), F.lit(BLANKS)) != "").withColumn("bare", bare_line(F.col("line")))
     target_hashes = F.transform(_target_parts(F.col("bare")), lambda k: F.xxhash64(k))
     return lines.select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), "host", "page",
-        F.xxhash64(content_key(F.col("bare"))).alias("node"), F.when(masked_key(F.col("bare")).isNotNull(), F.xxhash64(masked_key(F.col("bare")))).alias("masked"),
+        F.xxhash64(content_key(F.col("bare"))).alias("node"), F.when(has_names(F.col("bare")), F.xxhash64(masked_key(F.col("bare")))).alias("masked"),
         target_hashes.alias("targets"), is_dated(F.col("bare")).alias("dated"), *[e.alias(n) for n, e in (statistics or {}).items()],
     )
 
