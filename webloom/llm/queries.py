@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import contributors, copies, leaks, linetree, site_lines, terms
+from webloom.llm import contributors, copies, leaks, linetree, prose, site_lines, terms
 from webloom.sources.tables import read_table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,14 @@ def p3_sampled(spark: SparkSession, d: str) -> DataFrame:
     return contributors.sampled_pages(t(spark, d, "documents"), t(spark, d, "domains"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return prose.findings(prose.prose_quality(t(spark, d, "documents"), t(spark, d, "labels")))
+
+
+def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return prose.prose_quality(t(spark, d, "documents"), t(spark, d, "labels"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return linetree.furniture_lines(t(spark, d, "documents"))
 
@@ -75,6 +83,8 @@ QUERIES: dict[str, Query] = {
     "p2_clean": p2_clean,
     "p3_found": p3_found,
     "p3_sampled": p3_sampled,
+    "p4_found": p4_found,
+    "p4_statistics": p4_statistics,
     "p5_found": p5_found,
     "p5_bodies": p5_bodies,
     "p7_found": p7_found,
