@@ -37,6 +37,8 @@ _MONTH = r"(?iu)\b(?:" + "|".join(MONTHS) + r")\b"
 _DATE = (
     r"(?iu)\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}|(?:\d{1,2}\.?\s+)?(?:de\s+)?(?:" + "|".join(MONTHS) + r")\s+(?:de\s+)?(?:\d{1,2},?\s+)?\d{4})\b"
 )
+#: Three to six short terms between commas, all in lower case.
+_TERMS = r"^\p{Ll}[\p{Ll}\-']*(?: [\p{Ll}\-']+){0,2}(?:, \p{Ll}[\p{Ll}\-']*(?: [\p{Ll}\-']+){0,2}){2,5}$"
 #: Longer lines keep their numbers in the content node; a notice of that length is repeated as it is.
 LONG = 400
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -69,9 +71,9 @@ def content_key(bare: Column) -> Column:
     """The content node: lower case, numbers and month names masked, tag lists reduced to their label."""
     length = F.length(bare)
     # a tag list has no sentence and several of its separators
-    tags = bare.rlike(r"^(?:[\p{L} ]{1,20}: *)?[\p{L}\-' ]{1,30}(?:(?: #| / )[\p{L}\-' ]{1,30})+$") | bare.rlike(r"^[\p{L}]+(?: [\p{L}]+)?: *[\p{L}\-' ]{1,30}(?:(?:, | / )[\p{L}\-' ]{1,30})+$")
+    tags = bare.rlike(r"^(?:[\p{L} ]{1,20}: *)?[\p{L}\-' ]{1,30}(?:(?: #| / )[\p{L}\-' ]{1,30})+$") | bare.rlike(r"^[\p{L}]+(?: [\p{L}]+)?: *[\p{L}\-' ]{1,30}(?:(?:, | / )[\p{L}\-' ]{1,30})+$") | bare.rlike(_TERMS)
     label = F.concat(F.lit("#tags "), F.lower(F.regexp_extract(bare, r"^([\p{L} ]{1,20}:)", 1)))
-    listed = (length <= 160) & bare.rlike(r" #| / |^[\p{L} ]{1,20}:.*,")
+    listed = (length <= 160) & bare.rlike(r" #| / |^[\p{L} ]{1,20}:.*,|, .*, ")
     return F.when(listed & tags, label).when(length <= LONG, _plain(_masked_numbers(bare))).otherwise(_plain(bare))
 
 
@@ -96,7 +98,7 @@ def is_dated(bare: Column) -> Column:
 def _target_parts(bare: Column) -> Column:
     """What a line may point to besides itself: the text after a label, and the last crumb."""
     short = (F.length(bare) <= 200) & bare.rlike(r"[:«»>/›]")
-    after = F.regexp_replace(bare, r"^[« ]*[^:]{1,20}:\s*|^[« ]+|\s*»\s*$", "")
+    after = F.regexp_replace(bare, r"^[« ]*[^:]{1,20}:\s*|^[« ]+|\s*»\s*$| \| .*$", "")
     crumb = F.regexp_extract(bare, r"^.* (?:>|/|»|›) (.+)$", 1)
     keys = F.array(content_key(after), content_key(crumb))
     return F.when(short, F.filter(keys, lambda k: k != "")).otherwise(F.array().cast("array<string>"))

@@ -95,10 +95,12 @@ def page_statistics(documents: DataFrame) -> DataFrame:
 def weak_label(figures: np.ndarray, quality: np.ndarray) -> np.ndarray:
     """1 junk, 0 prose, -1 unknown. quality: mean hand label (1 good), NaN where there is none or they disagree."""
     at = {f: i for i, f in enumerate(FIGURES)}
-    sentence, function = figures[:, at["sentence_share"]], figures[:, at["function_share"]]
+    sentence, function, letter = (figures[:, at[f]] for f in ("sentence_share", "function_share", "letter_share"))
     out = np.where(np.isnan(quality), -1, np.where(quality > 0.5, 0, 1))
-    out[(sentence > 0.55) & (function > 0.25)] = 0
-    out[(sentence < 0.15) & (function < 0.25)] = 1
+    # hand labels also call bad sentences bad, so what is plain by its figures goes before them
+    out[(sentence > 0.5) & (function > 0.15)] = 0
+    out[(sentence < 0.35) & (function < 0.2) | (sentence < 0.1) & (function < 0.25) | (sentence < 0.15) & (letter < 0.5)] = 1
+    out[function < 0.1] = 1
     return out
 
 
