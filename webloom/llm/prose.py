@@ -34,42 +34,45 @@ FIGURES = [
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')”»]*\s+")
-_ENDS = re.compile(r"[.!?…][\"')”»\]]*\s*$")
 _LINK = re.compile(r"https?://|www\.")
-_MIXED = re.compile(r"\S*(?:_|#|\d[^\W\d]|[^\W\d_]\d)\S*")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_MIXED = re.compile(r"_|#|\d[^\W\d_]|[^\W\d_]\d")
 _DIGITS = re.compile(r"\d+")
 _ODD = re.compile(r"[^\x00-\x7fàâäæçéèêëîïôöœùûüÿñßáíóúÀÂÄÆÇÉÈÊËÎÏÔÖŒÙÛÜŸÑÁÍÓÚ¿¡‘’“”„«»–—…·•©°\xa0€]")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-–—’“”„«»…¿¡]")
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]\w*")
 _LISTS = [frozenset(v) for v in FUNCTION_WORDS.values()]
-_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]*")
+_ALL_LISTS = frozenset().union(*_LISTS)
+_CLOSERS = " \t\r\n\xa0\"')”»]"
+
+
+def _ended(text: str) -> bool:
+    return text.rstrip(_CLOSERS)[-1:] in (".", "!", "?", "…")
 
 
 def page_figures(body: str) -> list[float]:
     """The FIGURES of a text; all texts have them, the empty one too."""
-    cut = _WORD.findall(body)
-    low = [w.lower() for w in cut]
+    low = _WORD.findall(body.lower())
     n = len(low) or 1
     counts = Counter(low)
-    solid = len(re.sub(r"\s+", "", body)) or 1
-    lines = [x for x in body.split("\n") if x.strip()]
-    ends = sum(1 for x in lines if _ENDS.search(x))
     tokens = body.split()
+    solid = sum(map(len, tokens)) or 1
+    lines = [x for x in body.split("\n") if x.strip()]
     in_sentences = sentences = 0
     for part in _SENTENCE.split(body):
-        k = len(part.split())
-        if 3 <= k <= 60 and _ENDS.search(part):
+        if _ended(part) and 3 <= (k := len(part.split())) <= 60:
             in_sentences += k
             sentences += 1
-    functions = max(sum(counts[w] for w in s if w in counts) for s in _LISTS)
-    content = [c for w, c in counts.most_common(40) if not any(w in s for s in _LISTS)][:2]
+    functions = max(sum(map(counts.__getitem__, s & counts.keys())) for s in _LISTS)
+    content = [c for w, c in counts.most_common(60) if w not in _ALL_LISTS][:2]
     per_line = sorted(len(x.split()) for x in lines) or [0]
     digits = sum(map(len, _DIGITS.findall(body)))
+    characters = sum(map(len, low))
+    ascii_only = body.isascii()
     return [
-        math.log1p(len(low)), sum(map(len, low)) / n, functions / n, sum(map(len, _LETTERS.findall(body))) / solid, digits / solid,
-        len(_SYMBOL.findall(body)) / solid, in_sentences / (len(tokens) or 1), ends / (len(lines) or 1), float(min(per_line[len(per_line) // 2], 100)),
-        len(counts) / n**0.8, sum(content) / n, sum(1 for c in counts.values() if c == 1) / n, sum(1 for w in low if w.isdigit()) / n,
-        min(max(map(len, tokens), default=0), 100) / 100, len(_ODD.findall(body)) / solid, len(_CAPITAL.findall(body)) / n, sentences / n, len(_LINK.findall(body)) / n,
+        math.log1p(len(low)), characters / n, functions / n, (characters - digits) / solid, digits / solid,
+        len(_SYMBOL.findall(body)) / solid, in_sentences / (len(tokens) or 1), sum(map(_ended, lines)) / (len(lines) or 1), float(min(per_line[len(per_line) // 2], 100)),
+        len(counts) / n**0.8, sum(content) / n, list(counts.values()).count(1) / n, sum(c for w, c in counts.items() if w.isdigit()) / n if digits else 0.0,
+        min(max(map(len, tokens), default=0), 100) / 100, 0.0 if ascii_only else len(_ODD.findall(body)) / solid, len(_CAPITAL.findall(body)) / n, sentences / n, len(_LINK.findall(body)) / n,
         len(_MIXED.findall(body)) / (len(tokens) or 1), math.log1p(len(lines)), sum(1 for k in per_line if k <= 3) / (len(lines) or 1),
     ]
 
