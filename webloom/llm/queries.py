@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import contributors, copies, leaks, linetree, prose, site_lines, terms
+from webloom.llm import contributors, copies, leaks, linetree, prose, site_lines, spam, terms
 from webloom.sources.tables import read_table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,14 @@ def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
     return bodies.select("doc_id", F.length("body").alias("body_chars"), F.length("doc_text").alias("page_chars"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(t(spark, d, "documents"), t(spark, d, "edges")).where("spam").select("doc_id")
+
+
+def p6_curves(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(t(spark, d, "documents"), t(spark, d, "edges"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     one = copies.address_copies(t(spark, d, "discovery"), "id").select(F.lit("discovery").alias("tbl"), "first_id", "copy_id")
     return one.unionByName(copies.address_copies(t(spark, d, "documents"), "doc_id").select(F.lit("documents").alias("tbl"), "first_id", "copy_id"))
@@ -87,6 +95,8 @@ QUERIES: dict[str, Query] = {
     "p4_statistics": p4_statistics,
     "p5_found": p5_found,
     "p5_bodies": p5_bodies,
+    "p6_found": p6_found,
+    "p6_curves": p6_curves,
     "p7_found": p7_found,
     "p7_counts": p7_counts,
     "p9_found": p9_found,
