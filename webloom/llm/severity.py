@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.lexicon import FUNCTION_WORDS
 from webloom.llm.severity_examples import EXAMPLES
 
 #: Labelled documents used for training, at most: all labelled toxic first come first, then the others, by the hash of doc_id.
@@ -31,15 +32,17 @@ GRADES = 2
 HIT, FALSE_ALARM = 0.55, 0.02
 #: Added to the first model's log odds before the votes: it knows only what is worst.
 PRIOR = -1.0
+#: A sentence is scored if it has a feature of this weight or more; others have the floor's severity.
+TELLING = 0.4
 #: Weight of a sentence that is known by the labels alone.
-BACKGROUND = 0.3
+BACKGROUND, DOUBTFUL = 0.3, 0.03
 #: Words of fewer distinct sentences aren't learnt from the labels.
 RARE = 4
 
 _FOLD = str.maketrans("àâäáãåçéèêëíìîïñóòôöõúùûüýÿœæ", "aaaaaaceeeeiiiinooooouuuuyyoa")
 _LEET = str.maketrans("013457$@", "oieastsa")
 _WRAP = re.compile(r"(?<=[^\s.!?:])[ \t\r]*\n(?=[a-zà-ÿ])")
-_CUT = re.compile(r"[.!?…]+[\"')”»]*\s+|\n+|[.!?…]+$")
+_CUT = re.compile(r"; |[.!?…]+[\"')”»]*\s+|\n+|[.!?…]+$")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][-.·_]){2,}[^\W\d_](?![^\W_])")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _STARS = re.compile(r"([^\W\d_])(\*+)([^\W\d_]?)")
@@ -75,8 +78,9 @@ class SeverityModel:
 
     def __init__(self, weights: dict[str, float], thresholds: np.ndarray) -> None:
         self.weights, self.thresholds = weights, thresholds
-        # only these can raise a sentence above the floor
-        self.triggers = {p for f, w in weights.items() if w > 0.2 for p in f.split("_")[:1]}
+        self.triggers = {f for f, w in weights.items() if w >= TELLING and "_" not in f}
+        self.pairs = {tuple(f.split("_")) for f, w in weights.items() if w >= TELLING and "_" in f}
+        self.firsts = {a for a, _ in self.pairs}
 
     @property
     def floor(self) -> float:
@@ -92,13 +96,15 @@ class SeverityModel:
         return sum(get(f, 0.0) for f in features_of(words))
 
     def worst(self, text: str | None) -> float | None:
-        """The largest score of a text's sentences, None without any worth scoring."""
+        """The largest score of a text's sentences with a telling feature, None without any."""
         best = None
         for words in sentences(text) if text else ():
-            if not self.triggers.isdisjoint(words):
+            telling = not self.triggers.isdisjoint(words) or (
+                not self.firsts.isdisjoint(words) and not self.pairs.isdisjoint(zip(words, words[1:], strict=False))
+            )
+            if telling:
                 s = self.score(words)
-                if best is None or s > best:
-                    best = s
+                best = s if best is None else max(best, s)
         return best
 
 
@@ -157,7 +163,12 @@ def train(labelled: Iterable[tuple[str | None, float, float]]) -> SeverityModel:
         if key not in member:
             member[key] = features_of([x for x in words if x in known or frequency[x] >= RARE])
     # what stands in clean documents again and again is the background that the hand-graded sentences stand out from
-    background = [(member[k], _graded(0), BACKGROUND) for k, (t, c) in template.items() if c >= 3 and t < 0.15 * (t + c) and member[k]]
+    plain = {k for k, (t, c) in template.items() if c >= 3 and t < 0.15 * (t + c)}
+    usual = {x for k in plain for x in k} | {w for v in FUNCTION_WORDS.values() for x in v for w in _TOKEN.findall(undisguised(x))}
+    # labels miss much, so a sentence seen once or twice counts only if it shares no telling word with the graded ones
+    telling = {x for f, q, _ in hand if q[0] > 0 for x in f if "_" not in x} - usual
+    plain |= {k for k, (t, c) in template.items() if t == 0 and c < 3 and telling.isdisjoint(k)}
+    background = [(member[k], _graded(0), BACKGROUND * min(1.0, template[k][1] / 3)) for k in plain if member[k]]
     first = fit(hand + background)
     learnt = []
     up, down = np.log(HIT / FALSE_ALARM), np.log((1 - HIT) / (1 - FALSE_ALARM))
@@ -165,9 +176,10 @@ def train(labelled: Iterable[tuple[str | None, float, float]]) -> SeverityModel:
         p = first.grades(sum(first.weights.get(x, 0.0) for x in member[key]))
         prior = np.clip(np.log(p[0] / (1 - p[0])) + PRIOR, -8.0, 2.0)
         q = 1 / (1 + np.exp(-np.clip(prior + t * up + c * down, -20, 20)))
-        # in between, nothing is known
+        # in between, nothing is known; and a missing label or two say little of a sentence with telling words
         if member[key] and not 0.2 < q < 0.8:
-            learnt.append((member[key], np.array([q, q * p[1] / p[0]]), min(1.0, BACKGROUND + 0.1 * (t + c))))
+            weak = q < 0.5 and t + c < 3 and not telling.isdisjoint(key)
+            learnt.append((member[key], np.array([q, q * p[1] / p[0]]), DOUBTFUL if weak else min(1.0, BACKGROUND + 0.1 * (t + c))))
     return fit(hand + learnt)
 
 

@@ -26,7 +26,54 @@ EXAMPLES: list[tuple[str, int]] = [
     ("Eres un maldito idiota, cierra la boca de una vez.", 1),
     ("Cállate, pobre imbécil, asqueroso parásito.", 1),
     ("Qué cobarde y qué mentiroso eres, inútil, basura.", 1),
+    # the words of abuse by themselves
+    ("a rotten halfwit", 1),
+    ("a disgusting moron", 1),
+    ("a stupid cretin", 1),
+    ("a pathetic loser", 1),
+    ("a useless coward", 1),
+    ("a spineless parasite", 1),
+    ("a brainless clown", 1),
+    ("a filthy liar and a dirty rat", 1),
+    ("a worthless waste of skin", 1),
+    ("an ugly piece of trash", 1),
+    ("a miserable scumbag", 1),
+    ("only a halfwit could ruin it this badly", 1),
+    ("you are too dumb to live", 1),
+    ("your mother should be ashamed of you", 1),
+    ("more brains than you", 1),
+    ("un sale menteur", 1),
+    ("un gros abruti", 1),
+    ("un pauvre crétin", 1),
+    ("un misérable raté", 1),
+    ("quel parasite, mon chien est plus malin que toi", 1),
+    ("ein dämlicher Versager", 1),
+    ("ein erbärmlicher Schwachkopf", 1),
+    ("er ist und bleibt ein nutzloser Trottel", 1),
+    ("du elender Lügner", 1),
+    ("du feiger Parasit, du Ratte", 1),
+    ("so ein Idiot wie du", 1),
+    ("halt die Fresse", 1),
+    ("un maldito mentiroso", 1),
+    ("un asqueroso cobarde", 1),
+    ("un pobre inútil", 1),
+    ("solo un imbécil como tú", 1),
+    ("hasta mi perro es más listo que tú", 1),
+    ("What kind of disgusting idiot writes about this?", 1),
+    ("What kind of worthless liar writes like that?", 1),
+    ("You are a rotten rat and everybody here knows it.", 1),
+    ("She is a filthy loser and so is whoever reads this.", 1),
+    ("Only an ugly liar like you could do this so badly.", 1),
+    ("Quel minable, même un âne est plus malin que toi.", 1),
+    ("Sie ist und bleibt ein dreckiger Lügner.", 1),
     # threats and death wishes
+    ("Keiner von denen ist ein Mensch, das sind alles Diebe.", 2),
+    ("Nackte geile Frauen warten auf Sex mit dir.", 2),
+    ("I slid my hand between her thighs and felt how wet she was.", 2),
+    ("Verreck doch, du Versager.", 2),
+    ("Du solltest dich ertränken.", 2),
+    ("Go and drown yourself.", 2),
+    ("Crève, sale raté.", 2),
     ("I will find you and break your legs.", 2),
     ("I know where you live and I will break your fingers.", 2),
     ("I hope you die slowly, you fool.", 2),
