@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import contributors, copies, leaks, linetree, prose, site_lines, spam, terms
+from webloom.llm import contributors, copies, leaks, linetree, packing, prose, severity, site_lines, spam, terms
 from webloom.sources.tables import read_table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,14 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return copies.address_copies(t(spark, d, "discovery"), "id").groupBy("first_id").agg(F.max("copies").alias("copies"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(t(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_rates(packing.pack(t(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(t(spark, d, "documents"), t(spark, d, "benchmark")).where("exact_words > 0").select("doc_id", "item_id")
 
@@ -84,6 +92,18 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count_if(F.expr("exact_words > 0")).alias("exact_documents"), F.count_if(F.expr("exact_words = 0")).alias("template_documents"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return severity.score_documents(t(spark, d, "documents"), t(spark, d, "labels")).where("flagged").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return severity.score_documents(t(spark, d, "documents"), t(spark, d, "labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return severity.source_rates(p10_scores(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_frequencies": p1_frequencies,
@@ -99,8 +119,13 @@ QUERIES: dict[str, Query] = {
     "p6_curves": p6_curves,
     "p7_found": p7_found,
     "p7_counts": p7_counts,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 _TERMS = r"""
