@@ -29,23 +29,32 @@ def simple_words(text: Column) -> Column:
     return tokens(text)
 
 
-_STEPS = [
-    (re.compile(p), r)
-    for p, r in (
-        (r"(ss|i)es$", r"\1"), (r"([^s])s$", r"\1"), (r"eed$", "ee"), (r"(.*[aeiouy].*)(?:ed|ing)$", r"\1"), (r"(at|bl|iz)$", r"\1e"), (r"([^aeiouylsz])\1$", r"\1"),
-        (r"(.*[aeiou].*)y$", r"\1i"), (r"ational$", "ate"), (r"tional$", "tion"), (r"ization$", "ize"), (r"fulness$", "ful"), (r"ousness$", "ous"), (r"iveness$", "ive"), (r"(.{3,})(?:ement|ment|ness)$", r"\1"),
-    )
-]
+_VOWEL = re.compile(r"[aeiouy]")
+_ENDINGS = (("ational", "ate"), ("tional", "tion"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ement", ""), ("ment", ""), ("ness", ""))
 
 
 def stem(word: str) -> str:
     """A light English suffix stripper: plurals, -ed and -ing, a few noun endings. Short words stay."""
     if len(word) <= 3:
         return word
-    for pattern, to in _STEPS:
-        shorter = pattern.sub(to, word)
-        if len(shorter) >= 3:
-            word = shorter
+    if word.endswith(("sses", "ies")):
+        word = word[:-2]
+    elif word.endswith("s") and not word.endswith(("ss", "us")):
+        word = word[:-1]
+    for ending in ("ed", "ing"):
+        rest = word.removesuffix(ending)
+        if rest != word and len(rest) > 2 and _VOWEL.search(rest) and not rest.endswith("e"):
+            if rest.endswith(("at", "bl", "iz")):
+                rest += "e"
+            elif rest[-1] == rest[-2] and rest[-1] not in "aeiouylsz":
+                rest = rest[:-1]
+            word = rest
+            break
+    if word.endswith("y") and len(word) > 3 and _VOWEL.search(word[:-1]):
+        word = word[:-1] + "i"
+    for ending, to in _ENDINGS:
+        if word.endswith(ending) and len(word) - len(ending) >= 3:
+            return word.removesuffix(ending) + to
     return word
 
 
@@ -59,12 +68,15 @@ def stem_table(words: DataFrame, column: str = "word") -> DataFrame:
     return words.select(F.col(column).alias("word")).where("word is not null").distinct().mapInPandas(run, "word string, stem string")
 
 
+def _labelled(words: Column, offset: Column, label: str) -> Column:
+    return F.transform(words, lambda w, i: F.struct(w.alias("word"), (offset + i).cast("int").alias("position"), F.lit(label).alias("label")))
+
+
 def weighted_vector(sections: list[tuple[str, Column]], analyse: Callable[[Column], Column] = simple_words) -> Column:
     """array of (word, position, label) over labelled sections in order; positions go on across sections, stop words keep theirs but are left out."""
     offset, parts = F.lit(0), []
     for label, text in sections:
         words = analyse(F.coalesce(text, F.lit("")))
-        start = offset
-        parts.append(F.transform(words, lambda w, i, start=start, label=label: F.struct(w.alias("word"), (start + i).cast("int").alias("position"), F.lit(label).alias("label"))))
+        parts.append(_labelled(words, offset, label))
         offset = offset + F.size(words)
     return F.filter(F.concat(*parts), lambda e: ~e["word"].isin(STOP_WORDS))
