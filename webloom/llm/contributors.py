@@ -61,7 +61,7 @@ def cap_records(records: DataFrame, contributor: Column, cap: Column, digits: Se
     """
     spark = records.sparkSession
     ensure_checkpoint_dir(spark)
-    rows = records.where(contributor.isNotNull()).select(
+    rows = records.where(contributor.isNotNull() & F.col(identity).isNotNull()).select(
         contributor.alias("_c"), cap.cast("long").alias("_left"), F.col(identity).cast("long").alias("_id"), *[d.cast("long").alias(f"_d{i}") for i, d in enumerate(digits)]
     )
     sizes = rows.groupBy("_c").agg(F.count("*").alias("_size"), F.first("_left").alias("_cap")).where("_size > _cap").select("_c")

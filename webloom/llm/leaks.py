@@ -146,8 +146,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_
     Null, empty and short texts and items share nothing. Repeated documents rows give repeated rows; an item without windows is never leaked.
     """
     spark = documents.sparkSession
-    items = items.select("item_id", "text").where("text is not null").dropDuplicates()
-    corpus = documents.select("doc_id", "text").where("text is not null")
+    items = items.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates()
+    corpus = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     total = items.count()
     blocks = max(1, -(-total // block_items))
     result = None

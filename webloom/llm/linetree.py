@@ -45,6 +45,8 @@ BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\
 #: Parts of a hot (site, node) pair or site that are joined apart.
 SALTS = 8
 
+#: Pages a site has at least for its share of pages to say something about a node.
+TELLING_PAGES = 4
 IMPORTANCE = 0.62
 MIN_SHARE = 0.05
 VETO_ADHERENCE = 0.05
@@ -111,7 +113,7 @@ def page_hosts(documents: DataFrame, *columns: str) -> DataFrame:
     """
     host = F.coalesce(site(F.col("domain")), uri_host(F.col("uri")), F.concat(F.lit("#"), F.col("doc_id").cast("string")))
     page = F.coalesce(F.xxhash64(letters_and_digits(percent_decode(F.col("uri")))), F.col("doc_id"))
-    return documents.select("doc_id", F.xxhash64(host).alias("host"), page.alias("page"), *columns)
+    return documents.where("doc_id is not null").select("doc_id", F.xxhash64(host).alias("host"), page.alias("page"), *columns)
 
 
 def line_nodes(documents: DataFrame, statistics: dict[str, Column] | None = None) -> DataFrame:
@@ -145,10 +147,11 @@ def node_importance(nodes: DataFrame) -> DataFrame:
     salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     counted = counted.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"]).drop("salt")
     counted = counted.withColumn("importance", F.when(F.col("host_pages") > 1, 1 - F.log("pages") / F.log(F.col("host_pages"))).otherwise(F.lit(1.0)))
-    over_sites = counted.groupBy("node").agg(F.count("*").alias("hosts"), (F.sum("pages") / F.sum("host_pages")).alias("adherence"))
-    per_site = counted.where("masked is not null").groupBy("masked", "host").agg(F.sum("pages").alias("p"), F.max("host_pages").alias("m"))
+    telling = counted.where(F.col("host_pages") >= TELLING_PAGES)
+    over_sites = telling.groupBy("node").agg(F.count("*").alias("hosts"), (F.sum("pages") / F.sum("host_pages")).alias("adherence"))
+    per_site = telling.where("masked is not null").groupBy("masked", "host").agg(F.sum("pages").alias("p"), F.max("host_pages").alias("m"))
     over_names = per_site.groupBy("masked").agg(F.count("*").alias("masked_hosts"), (F.sum(F.least("p", "m")) / F.sum("m")).alias("masked_adherence")).where("masked_hosts > 4")
-    return counted.join(over_sites, "node").join(over_names, "masked", "left").drop("masked")
+    return counted.join(over_sites, "node", "left").join(over_names, "masked", "left").drop("masked")
 
 
 def furniture_nodes(importance: DataFrame) -> DataFrame:
@@ -158,6 +161,7 @@ def furniture_nodes(importance: DataFrame) -> DataFrame:
     loose = (F.col("hosts") >= 5) & (F.col("adherence") < VETO_ADHERENCE)
     adherent = (F.col("hosts") >= 4) & (F.col("adherence") >= ADHERENCE) | (F.col("hosts") >= 2) & (F.col("adherence") >= 0.25) & (pages >= 2)
     named = (F.col("masked_hosts") >= 5) & (F.col("masked_adherence") >= 0.15)
+    loose, adherent = F.coalesce(loose, F.lit(False)), F.coalesce(adherent, F.lit(False))
     return importance.where(repeated & ~loose | adherent | F.coalesce(named, F.lit(False))).select("host", "node")
 
 
@@ -181,7 +185,7 @@ def furniture_lines(documents: DataFrame) -> DataFrame:
 
 def main_bodies(documents: DataFrame) -> DataFrame:
     """documents with ``body``: doc_text without its furniture, lines in order; null stays null."""
-    taken = furniture_lines(documents).groupBy("doc_id").agg(F.collect_list("line_no").alias("_taken"))  # bounded by one page's lines
-    kept = F.filter(F.split("doc_text", "\n"), lambda _, i: ~F.array_contains(F.col("_taken"), i.cast("long")))
-    body = F.when(F.col("_taken").isNull(), F.col("doc_text")).otherwise(F.array_join(kept, "\n"))
-    return documents.join(taken, "doc_id", "left").withColumn("body", body).drop("_taken")
+    taken = furniture_lines(documents).groupBy("doc_id").agg(F.collect_list("line_no").alias("_weft_taken"))  # bounded by one page's lines
+    kept = F.filter(F.split("doc_text", "\n"), lambda _, i: ~F.array_contains(F.col("_weft_taken"), i.cast("long")))
+    body = F.when(F.col("_weft_taken").isNull(), F.col("doc_text")).otherwise(F.array_join(kept, "\n"))
+    return documents.join(taken, "doc_id", "left").withColumn("body", body).drop("_weft_taken")

@@ -46,7 +46,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": [len(encoder.encode_ordinary(t)) if t else 0 for t in batch["text"]]})
 
-    return documents.select("doc_id", "text").mapInPandas(count, "doc_id long, tokens long")
+    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(count, "doc_id long, tokens long")
 
 
 def plan(histogram: dict[int, int], tiers: Sequence[int] = TIERS) -> list[tuple[int, int, int, list[tuple[int, int]]]]:

@@ -26,6 +26,8 @@ from webloom.plans.written import written
 
 #: Labelled documents that the trees are trained on, at most; chosen by the hash of doc_id.
 MAX_TRAINING = 4000
+#: With fewer weakly labelled pages of either kind, the hand-checked examples are trained on as well.
+FEW = 20
 
 FIGURES = [
     "words_log", "word_length", "function_share", "letter_share", "digit_share", "symbol_share", "sentence_share", "line_end_share", "line_words", "variety", "top_share",
@@ -90,7 +92,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def page_statistics(documents: DataFrame) -> DataFrame:
     """doc_id, the FIGURES of the body, true_words of doc_text, word_count, has_body; null texts are left out, empty ones have figures of 0."""
-    bodies = main_bodies(documents.select("doc_id", "uri", "domain", "title", "doc_text", "word_count")).where("doc_text is not null")
+    bodies = main_bodies(documents.select("doc_id", "uri", "domain", "title", "doc_text", "word_count")).where("doc_id is not null and doc_text is not null")
     schema = "doc_id long, " + ", ".join(f"{f} double" for f in FIGURES) + ", true_words long, word_count long, has_body boolean"
     return bodies.select("doc_id", "body", "doc_text", "word_count").mapInPandas(_measure, schema)
 
@@ -114,7 +116,7 @@ def train(sample: pd.DataFrame) -> BoostedTrees:
     x = sample[FIGURES].to_numpy(dtype=float) if len(sample) else np.empty((0, len(FIGURES)))
     y = weak_label(x, sample["quality"].to_numpy(dtype=float)) if len(sample) else np.empty(0)
     x, y = x[y >= 0], y[y >= 0].astype(float)
-    if not 0 < y.sum() < len(y):  # too few labelled pages: the examples stand in
+    if min(y.sum(), len(y) - y.sum()) < FEW:  # the examples stand in, and the calibration is then on what was learnt
         x, y = np.concatenate([x, held]), np.concatenate([y, held_junk])
     return BoostedTrees().fit(x, y).calibrate(held, held_junk)
 

@@ -141,6 +141,7 @@ def _graded(grade: int) -> np.ndarray:
 def train(labelled: Iterable[tuple[str | None, float, float]]) -> SeverityModel:
     """labelled: text, mean toxic label and weight (how many such documents it stands for) of documents; may be empty."""
     hand = [(features_of(w), _graded(g), 2.0) for t, g in EXAMPLES for w in [[x for s in sentences(t) for x in s]]]
+    grammar = sorted({w for v in FUNCTION_WORDS.values() for x in v for w in _TOKEN.findall(undisguised(x))})
     known = {x for f, _, _ in hand for x in f}
     # how often each sentence stands in documents labelled toxic or clean
     votes: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0])
@@ -164,11 +165,13 @@ def train(labelled: Iterable[tuple[str | None, float, float]]) -> SeverityModel:
             member[key] = features_of([x for x in words if x in known or frequency[x] >= RARE])
     # what stands in clean documents again and again is the background that the hand-graded sentences stand out from
     plain = {k for k, (t, c) in template.items() if c >= 3 and t < 0.15 * (t + c)}
-    usual = {x for k in plain for x in k} | {w for v in FUNCTION_WORDS.values() for x in v for w in _TOKEN.findall(undisguised(x))}
+    usual = {x for k in plain for x in k} | set(grammar)
     # labels miss much, so a sentence seen once or twice counts only if it shares no telling word with the graded ones
     telling = {x for f, q, _ in hand if q[0] > 0 for x in f if "_" not in x} - usual
     plain |= {k for k, (t, c) in template.items() if t == 0 and c < 3 and telling.isdisjoint(k)}
     background = [(member[k], _graded(0), BACKGROUND * min(1.0, template[k][1] / 3)) for k in plain if member[k]]
+    # grammar by itself is harmless
+    hand += [([w], _graded(0), BACKGROUND) for w in grammar]
     first = fit(hand + background)
     learnt = []
     up, down = np.log(HIT / FALSE_ALARM), np.log((1 - HIT) / (1 - FALSE_ALARM))
@@ -195,7 +198,7 @@ def training_documents(documents: DataFrame, labels: DataFrame, max_toxic: int =
     return [(r["text"], float(r["toxic"]), weights[r["toxic"] >= 0.5]) for r in texts.collect()]
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.4) -> DataFrame:
     """doc_id, source, probability (of grade 1 or more), severity (expected, 0 to 2), flagged, of every document.
 
     Null and empty texts have the severity of a sentence without a known word and aren't flagged. Rows are scored one by one, repeated ones too.
@@ -214,7 +217,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
             out["flagged"] = (out["probability"] >= threshold) & ~nothing
             yield out
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, probability double, severity double, flagged boolean")
+    return documents.where("doc_id is not null").select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, probability double, severity double, flagged boolean")
 
 
 def source_rates(scored: DataFrame) -> DataFrame:

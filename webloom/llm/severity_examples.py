@@ -134,6 +134,26 @@ EXAMPLES: list[tuple[str, int]] = [
     ("Le besó los pechos desnudos mientras ella gemía.", 2),
     ("Parejas buscan sexo en grupo, follar sin límites.", 2),
     ("Porno gratis, putas calientes y tetas desnudas, mamada.", 2),
+    ("He sucked me off behind the shed and swallowed.", 2),
+    ("Only a disgusting halfwit like him could ruin it.", 1),
+    # harmless
+    ("We walked along the canal until the lock, where an old man was mending his net.", 0),
+    ("I did not believe him, but I bought the smoked eels anyway.", 0),
+    ("She told us that the road would be closed until the summer.", 0),
+    ("What surprised me was how quiet the valley is in the morning.", 0),
+    ("You will need two hours, a sharp knife and some patience for this.", 0),
+    ("He said that they had never seen so many birds on the water.", 0),
+    ("If you ask me, you should go there by train and take your time.", 0),
+    ("Everybody in the village knows where to find the best bread.", 0),
+    ("Nous avons retrouvé la boîte derrière le mur de la cuisine, elle était vide.", 0),
+    ("Je ne sais pas si tu connais ce village, mais il est très beau.", 0),
+    ("Personne ne se souvient d'avoir vu un tel outil.", 0),
+    ("Im Herbst ist der Weg oft nass, deshalb nehmen wir die Straße.", 0),
+    ("Ich weiß nicht, ob du den alten Hof noch kennst, er ist sehr schön.", 0),
+    ("Niemand kann sich an einen solchen Winter erinnern.", 0),
+    ("El tren llegó con una hora de retraso y ya no quedaban taxis.", 0),
+    ("No sé si conoces este pueblo, pero es muy bonito.", 0),
+    ("Nadie recuerda haber visto un reloj parecido.", 0),
     # neutral mention
     ("The moderators removed posts that called people idiots, and I think they were right.", 0),
     ("Please do not use words like vermin in this forum; such posts are deleted.", 0),

@@ -7,8 +7,8 @@ Benjamini and Hochberg; significant lines are taken out of their pages, which ar
 put together again by line position.
 
 A notice that every site carries isn't commoner here than elsewhere, yet repeated here
-all the same. A key is therefore also held against an ordinary line, which is on as
-many pages of the whole collection as a key is on average; the larger ratio counts.
+all the same. What is tested is therefore the excess over a line that stands on no page
+outside; the ratio to the key's own outside frequency is given beside it.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ P_STEPS = 3200
 
 def site_document_lines(documents: DataFrame) -> DataFrame:
     """doc_id, site, line_no, key (hash of the letters) of every line with letters of a document with a site."""
-    docs = documents.select("doc_id", site(F.col("domain")).alias("site"), F.col("doc_text").alias("body")).where("site is not null and body is not null")
+    docs = documents.select("doc_id", site(F.col("domain")).alias("site"), F.col("doc_text").alias("body")).where("doc_id is not null and site is not null and body is not null")
     lines = docs.select("doc_id", "site", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
     return lines.select("doc_id", "site", F.col("line_no").cast("long").alias("line_no"), letters_only(F.col("line")).alias("letters")).where("letters <> ''").select("doc_id", "site", "line_no", F.xxhash64("letters").alias("key"))
 
@@ -54,7 +54,7 @@ def log10_p(ratio: Column) -> Column:
 
 
 def line_statistics(lines: DataFrame, documents: DataFrame) -> DataFrame:
-    """site, key, pages, site_pages, outside_pages, log10_p of every line key of a site.
+    """site, key, pages, site_pages, outside_pages, log10_p, outside_log10_p of every line key on several pages of a site.
 
     The distinct (site, key, page) triples are counted first, so a key or site with a third of all rows is spread over all tasks.
     """
@@ -62,15 +62,14 @@ def line_statistics(lines: DataFrame, documents: DataFrame) -> DataFrame:
     sizes = documents.select("doc_id", site(F.col("domain")).alias("site")).where("site is not null").groupBy("site").agg(F.countDistinct("doc_id").alias("site_pages"))
     totals = sizes.agg(F.sum("site_pages").alias("all_pages"))
     everywhere = pages.groupBy("key").agg(F.sum("pages").alias("key_pages"))
-    ordinary = everywhere.agg((F.sum("key_pages") / F.count("*")).alias("ordinary_pages"))
     # only keys on several pages of a site can be in excess; the others aren't joined to anything
-    repeated = pages.where("pages > 1").join(sizes, "site").join(everywhere, "key").crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(ordinary))
+    repeated = pages.where("pages > 1").join(sizes, "site").join(everywhere, "key").crossJoin(F.broadcast(totals))
     inside, inside_total, everyone = (F.col(c).cast("double") for c in ("pages", "site_pages", "all_pages"))
     outside = (F.col("key_pages") - F.col("pages")).cast("double")
+    # the collection's size stands in for that of the outside, so that a site without an outside is tested as well
+    unrepeated = log_likelihood_ratio(inside, inside_total, F.lit(0.0), everyone)
     beside_others = log_likelihood_ratio(inside, inside_total, outside, everyone - inside_total)
-    beside_ordinary = log_likelihood_ratio(inside, inside_total, F.least(F.col("ordinary_pages"), everyone), everyone)
-    ratio = F.greatest(beside_others, beside_ordinary)
-    return repeated.select("site", "key", "pages", "site_pages", (F.col("key_pages") - F.col("pages")).alias("outside_pages"), log10_p(ratio).alias("log10_p"))
+    return repeated.select("site", "key", "pages", "site_pages", (F.col("key_pages") - F.col("pages")).alias("outside_pages"), log10_p(unrepeated).alias("log10_p"), log10_p(beside_others).alias("outside_log10_p"))
 
 
 def false_discovery_threshold(statistics: DataFrame, tests: int, rate: float) -> float:
@@ -86,7 +85,7 @@ def false_discovery_threshold(statistics: DataFrame, tests: int, rate: float) ->
 
 
 def excess_lines(documents: DataFrame, rate: float = 0.05, min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
-    """doc_id, line_no, site, pages, site_pages, log10_p of every occurrence of a line in excess.
+    """doc_id, line_no, site, pages, site_pages, log10_p, outside_log10_p of every occurrence of a line in excess.
 
     After the test, a line must be on min_pages pages and on min_share of the site's.
     Null bodies, null sites and lines without letters never count; a line repeated within
@@ -100,13 +99,13 @@ def excess_lines(documents: DataFrame, rate: float = 0.05, min_pages: int = 5, m
     tests = statistics.count()
     limit = false_discovery_threshold(statistics, tests, rate)
     found = statistics.where((F.col("log10_p") <= limit) & (F.col("pages") >= min_pages) & (F.col("pages") >= F.col("site_pages") * F.lit(min_share)))
-    return lines.join(found, ["site", "key"]).select("doc_id", "line_no", "site", "pages", "site_pages", "log10_p")
+    return lines.join(found, ["site", "key"]).select("doc_id", "line_no", "site", "pages", "site_pages", "log10_p", "outside_log10_p")
 
 
 def without_excess_lines(documents: DataFrame, **parameters) -> DataFrame:
     """documents with ``clean_text``: doc_text without its lines in excess, the others in their order. Null stays null."""
-    taken = excess_lines(documents, **parameters).groupBy("doc_id").agg(F.collect_list("line_no").alias("_taken"))  # bounded by one page's lines
+    taken = excess_lines(documents, **parameters).groupBy("doc_id").agg(F.collect_list("line_no").alias("_weft_taken"))  # bounded by one page's lines
     lines = F.split("doc_text", "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_taken"), i.cast("long")))
-    clean = F.when(F.col("_taken").isNull(), F.col("doc_text")).otherwise(F.array_join(kept, "\n"))
-    return documents.join(taken, "doc_id", "left").withColumn("clean_text", clean).drop("_taken")
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_weft_taken"), i.cast("long")))
+    clean = F.when(F.col("_weft_taken").isNull(), F.col("doc_text")).otherwise(F.array_join(kept, "\n"))
+    return documents.join(taken, "doc_id", "left").withColumn("clean_text", clean).drop("_weft_taken")

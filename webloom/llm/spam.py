@@ -104,7 +104,7 @@ def line_shapes(bodies: DataFrame) -> DataFrame:
 def page_curves(documents: DataFrame, edges: DataFrame) -> DataFrame:
     """The figures of every page with words in its body, one row each, with out_links (distinct targets)."""
     # the bodies come partitioned by doc_id, and everything up to the figures keeps that partitioning
-    bodies = main_bodies(documents.select("doc_id", "uri", "domain", "title", "doc_text")).where("body is not null").select("doc_id", "body")
+    bodies = main_bodies(documents.select("doc_id", "uri", "domain", "title", "doc_text")).where("doc_id is not null and body is not null").select("doc_id", "body")
     out_links = edges.where("src is not null and dst is not null").select(F.col("src").alias("doc_id"), "dst").distinct().groupBy("doc_id").agg(F.count("*").alias("out_links"))
     figures = curves(word_counts(bodies)).join(line_shapes(bodies), "doc_id")
     figures = figures.join(out_links, "doc_id", "left").withColumn("out_links", F.coalesce("out_links", F.lit(0)))
