@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import arrays, bitmask, links, scores
+from webloom.functions.analysis import STOP_WORDS, stem_table, weighted_vector
 from webloom.functions.fixed import ENGLISH_ONLY_SITES, FILE_SUFFIXES, FORBIDDEN_ON_SITE, FORBIDDEN_PATHS, FORBIDDEN_SITES, TITLE_SEPARATORS
 from webloom.functions.text import strip_space, word_count
 from webloom.functions.uri import site, uri_host
@@ -113,6 +114,30 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", word_count(F.col("doc_text")).cast("long").alias("words"))
 
 
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query(rf"""WITH a AS (SELECT regexp_extract_all(lower(coalesce(title, '')), '[\p{{L}}\p{{N}}]+') AS t, regexp_extract_all(lower(coalesce(doc_text, '')), '[\p{{L}}\p{{N}}]+') AS b FROM documents),
+e AS (SELECT unnest(t) AS word, unnest(range(len(t))) AS position, 'A' AS label FROM a UNION ALL SELECT unnest(b), len(t) + unnest(range(len(b))), 'C' FROM a)
+SELECT word, label, count(*) AS n, CAST(min(position) AS INTEGER) AS first_position, CAST(sum(position) AS BIGINT) AS positions FROM e WHERE word NOT IN ({_STOPS}) GROUP BY word, label""")
+def weighted_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The weighted vectors of all documents (title A, text C), summed up by word and label."""
+    entries = t(spark, d, "documents").select(F.explode(weighted_vector([("A", F.col("title")), ("C", F.col("doc_text"))])).alias("e"))
+    return entries.groupBy(F.col("e.word").alias("word"), F.col("e.label").alias("label")).agg(
+        F.count("*").alias("n"), F.min("e.position").alias("first_position"), F.sum("e.position").alias("positions")
+    )
+
+
+@query()
+def stems(spark: SparkSession, d: str) -> DataFrame:
+    """The stem of every distinct word of the titles."""
+    return stem_table(segment_words(spark, d))
+
+
+def segment_words(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "title_segs").select(F.explode(F.split(F.lower("seg"), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''")
+
+
 # --- home, flags ------------------------------------------------------------
 
 
