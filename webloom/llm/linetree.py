@@ -62,7 +62,7 @@ def bare_line(line: Column) -> Column:
 def _plain(text: Column) -> Column:
     """Lower case without blanks, so that spacing makes no difference."""
     low = F.lower(text)
-    return F.rtrim(F.replace(F.when(low.rlike(r"[\t\x{a0}]"), F.regexp_replace(low, rf"[{SPACE}]+", "")).otherwise(low), F.lit(" "), F.lit("")), F.lit(".!"))
+    return F.rtrim(F.replace(F.when(low.contains("\t") | low.contains("\xa0"), F.regexp_replace(low, rf"[{SPACE}]+", "")).otherwise(low), F.lit(" "), F.lit("")), F.lit(".!"))
 
 
 def _masked_numbers(text: Column) -> Column:
@@ -76,12 +76,15 @@ def content_key(bare: Column) -> Column:
     tags = bare.rlike(r"^(?:[\p{L} ]{1,20}: *)?[\p{L}\-' ]{1,30}(?:(?: #| / )[\p{L}\-' ]{1,30})+$") | bare.rlike(r"^[\p{L}]+(?: [\p{L}]+)?: *[\p{L}\-' ]{1,30}(?:(?:, | / )[\p{L}\-' ]{1,30})+$") | bare.rlike(_TERMS)
     label = F.concat(F.lit("#tags "), F.lower(F.regexp_extract(bare, r"^([\p{L} ]{1,20}:)", 1)))
     listed = (length <= 160) & bare.rlike(r" #| / |^[\p{L} ]{1,20}:.*,|, .*, ")
-    return F.when(listed & tags, label).when(length <= LONG, _plain(_masked_numbers(bare))).otherwise(_plain(bare))
+    # a pointer between guillemets is its label
+    pointer = (bare.startswith("«") | bare.endswith("»")) & bare.rlike(r"^«? *\p{L}{2,14} ?: ")
+    pointed = F.concat(F.lit("#to "), F.lower(F.regexp_extract(bare, r"^«? *(\p{L}{2,14}) ?: ", 1)))
+    return F.when(pointer, pointed).when(listed & tags, label).when(length <= LONG, _plain(_masked_numbers(bare))).otherwise(_plain(bare))
 
 
 def has_names(bare: Column) -> Column:
     """Whether masking names can tell anything: not shouted, not long, a capital after the first word."""
-    return (F.length(bare) <= 160) & bare.rlike(r"\p{Ll}.* \p{Lu}|^\p{Lu}[\p{L}']* \p{Lu}.*\p{Ll}")
+    return (F.length(bare) <= 160) & bare.rlike(r"^.* \p{Lu}") & bare.rlike(r"\p{Ll}")
 
 
 def masked_key(bare: Column) -> Column:

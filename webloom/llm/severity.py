@@ -198,7 +198,7 @@ def training_documents(documents: DataFrame, labels: DataFrame, max_toxic: int =
     return [(r["text"], float(r["toxic"]), weights[r["toxic"] >= 0.5]) for r in texts.collect()]
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.4) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.45) -> DataFrame:
     """doc_id, source, probability (of grade 1 or more), severity (expected, 0 to 2), flagged, of every document.
 
     Null and empty texts have the severity of a sentence without a known word and aren't flagged. Rows are scored one by one, repeated ones too.
