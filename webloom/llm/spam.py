@@ -23,7 +23,6 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.text import tokens
 from webloom.llm.lexicon import FUNCTION_WORDS, SHOP_WORDS
 from webloom.llm.linetree import main_bodies
 from webloom.plans.written import written
@@ -34,13 +33,17 @@ RANK_CLASSES = (1, 2, 4, 8, 16, 32)
 #: Deviations from same-language prose that make a figure extreme.
 EXTREME = 5.0
 _SHOP, _NUMBER, _LINK = 16, 32, 64
+_LINK_WORDS = ["http", "https", "www"]
 
 
 def _word_kind(word: Column) -> Column:
     """Bits: one for each language whose function word it is, then shop word, number, start of an address."""
     bits = [F.when(word.isin(FUNCTION_WORDS[l]), 1 << i).otherwise(0) for i, l in enumerate(LANGUAGES)]
-    bits += [F.when(word.isin(SHOP_WORDS), _SHOP).otherwise(0), F.when(word.rlike(r"^\d+$"), _NUMBER).otherwise(0), F.when(word.isin("http", "https", "www"), _LINK).otherwise(0)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    bits += [F.when(word.isin(SHOP_WORDS), _SHOP).otherwise(0), F.when(word.isin(_LINK_WORDS), _LINK).otherwise(0)]
+    listed = sorted({*SHOP_WORDS, *_LINK_WORDS, *(w for v in FUNCTION_WORDS.values() for w in v)})
+    # one lookup settles most words; only what sorts before letters can be a number
+    number = F.when((word < ":") & word.rlike(r"^\d+$"), _NUMBER).otherwise(0)
+    return F.when(word.isin(listed), reduce(lambda a, b: a.bitwiseOR(b), bits)).otherwise(number)
 
 
 def _bit(bit: int) -> Column:
@@ -49,7 +52,7 @@ def _bit(bit: int) -> Column:
 
 def word_counts(bodies: DataFrame) -> DataFrame:
     """doc_id, n, kind, length of every distinct word of every body; a page's words stay where the page is."""
-    words = bodies.select("doc_id", F.explode(tokens(F.col("body"))).alias("word"))
+    words = bodies.select("doc_id", F.explode(F.split(F.lower("body"), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''")
     keyed = words.select("doc_id", F.xxhash64("word").alias("key"), _word_kind(F.col("word")).alias("kind"), F.length("word").alias("length"))
     return keyed.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.first("kind").alias("kind"), F.first("length").alias("length"))
 
