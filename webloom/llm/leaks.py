@@ -27,7 +27,7 @@ WINDOW = 12
 #: Own words that a window needs to be used as a template.
 MIN_OWN_WORDS = 5
 #: Items whose windows go to the tasks at once; larger sets are done in several passes.
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS = 2_000
 #: Units that may change together with their number.
 UNITS = frozenset(
     "mm cm dm m km inch inches foot feet yard yards mile miles league leagues g kg lb lbs pound pounds ton tons tonne tonnes l ml litre litres liter liters "
