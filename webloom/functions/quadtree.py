@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from typing import Any, NamedTuple
 
 
@@ -53,34 +52,41 @@ class Region(NamedTuple):
         return tuple(Region(p.x, p.y, 0, 0) if p.empty else p for p in parts)  # type: ignore[return-value]
 
 
-@dataclass
-class _Node:
-    value: Any = None
-    parts: list[_Node] | None = None
-
-
 class QuadTree:
-    """Values combine by ``join`` where regions are filled over one another; ``nothing`` is its neutral value."""
+    """Values combine by ``join`` where regions are filled over one another; ``nothing`` is its neutral value.
+
+    A node is ``[value, None]`` or ``[None, four nodes]``; walks carry plain numbers, as a fill touches a node for about every point of its rim.
+    """
 
     def __init__(self, bounds: Region, nothing: Any = None, join: Callable[[Any, Any], Any] | None = None) -> None:
         self.bounds, self.nothing = bounds, nothing
         self.join = join or (lambda new, old: new if new is not None else old)
-        self.root = _Node(nothing)
+        self.root: list[Any] = [nothing, None]
 
     def fill(self, value: Any, region: Region) -> QuadTree:
-        def go(node: _Node, at: Region) -> None:
-            if at.empty or at.meet(region) is None:
-                return
-            if node.parts is None and region.contains(at):
-                node.value = self.join(value, node.value)
-                return
-            if node.parts is None:
-                node.parts = [_Node(node.value) for _ in range(4)]
-            for part, quarter in zip(node.parts, at.quarters(), strict=True):
-                go(part, quarter)
-
-        if not region.empty:
-            go(self.root, self.bounds)
+        if region.empty or self.bounds.empty:
+            return self
+        left, top, right, bottom = region.x, region.y, region.x + region.w, region.y + region.h
+        todo = [(self.root, *self.bounds)]
+        while todo:
+            node, x, y, w, h = todo.pop()
+            if x >= right or y >= bottom or x + w <= left or y + h <= top:
+                continue
+            if node[1] is None:
+                if left <= x and top <= y and x + w <= right and y + h <= bottom:
+                    node[0] = self.join(value, node[0])
+                    continue
+                old = node[0]
+                node[0], node[1] = None, [[old, None], [old, None], [old, None], [old, None]]
+            a, b = w // 2, h // 2
+            parts = node[1]
+            if a and b:
+                todo.append((parts[0], x, y, a, b))
+            if b:
+                todo.append((parts[1], x + a, y, w - a, b))
+            if a:
+                todo.append((parts[2], x, y + b, a, h - b))
+            todo.append((parts[3], x + a, y + b, w - a, h - b))
         return self
 
     def insert(self, value: Any, x: int, y: int) -> QuadTree:
@@ -88,17 +94,27 @@ class QuadTree:
 
     def tiles(self, within: Region | None = None) -> Iterator[tuple[Region, Any]]:
         """Leaves that meet a region (all if none is given), from the top left; whole subtrees outside are passed over."""
-
-        def go(node: _Node, at: Region) -> Iterator[tuple[Region, Any]]:
-            if at.empty or (within is not None and at.meet(within) is None):
-                return
-            if node.parts is None:
-                yield at, node.value
-                return
-            for part, quarter in zip(node.parts, at.quarters(), strict=True):
-                yield from go(part, quarter)
-
-        return go(self.root, self.bounds)
+        area = self.bounds if within is None else within
+        if area.empty or self.bounds.empty:
+            return
+        left, top, right, bottom = area.x, area.y, area.x + area.w, area.y + area.h
+        todo = [(self.root, *self.bounds)]
+        while todo:
+            node, x, y, w, h = todo.pop()
+            if x >= right or y >= bottom or x + w <= left or y + h <= top:
+                continue
+            if node[1] is None:
+                yield Region(x, y, w, h), node[0]
+                continue
+            a, b = w // 2, h // 2
+            parts = node[1]
+            todo.append((parts[3], x + a, y + b, w - a, h - b))
+            if a:
+                todo.append((parts[2], x, y + b, a, h - b))
+            if b:
+                todo.append((parts[1], x + a, y, w - a, b))
+            if a and b:
+                todo.append((parts[0], x, y, a, b))
 
     def hits(self, region: Region) -> list[Any]:
         """Values other than nothing under a region."""

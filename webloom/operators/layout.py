@@ -86,11 +86,11 @@ def place_all(items: list[tuple[int, Region]], width: int = 1920, tries: int = 3
     placed: dict[int, Region] = {}
     for name, r in reversed(items):
         for _ in range(tries):
-            obstacles = [tile for tile, v in tree.tiles(r) if v is not None]
-            if not obstacles:
+            if not any(v is not None for _, v in tree.tiles(r)):
                 tree.fill(name, r)
                 placed[name] = r
                 break
+            obstacles = [tile for tile, v in tree.tiles(r) if v is not None]
             if not _can_move(r, obstacles):
                 break
             for o in obstacles:
