@@ -32,6 +32,8 @@ GRADES = 2
 HIT, FALSE_ALARM = 0.55, 0.02
 #: Added to the first model's log odds before the votes: it knows only what is worst.
 PRIOR = -1.0
+#: From this probability of the first model on, a clean label or two say nothing against a sentence.
+SUSPECT = 0.3
 #: A sentence is scored if it has a feature of this weight or more; others have the floor's severity.
 TELLING = 0.4
 #: Weight of a sentence that is known by the labels alone.
@@ -44,6 +46,7 @@ _LEET = str.maketrans("013457$@", "oieastsa")
 _WRAP = re.compile(r"(?<=[^\s.!?:])[ \t\r]*\n(?=[a-zà-ÿ])")
 _CUT = re.compile(r"; |[.!?…]+[\"')”»]*\s+|\n+|[.!?…]+$")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][-.·_]){2,}[^\W\d_](?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _STARS = re.compile(r"([^\W\d_])(\*+)([^\W\d_]?)")
 _DISGUISED = re.compile(r"(?:[^\W_]|(?<![^\W_])\$)*(?:[^\W\d_][013457$@]|[013457$][^\W\d_])[^\W_$@]*(?:[$@013457][^\W_]+)*")
@@ -60,6 +63,8 @@ def undisguised(text: str) -> str:
         text = _DISGUISED.sub(lambda m: m[0].translate(_LEET), text)
     if _APART.search(text):
         text = _APART.sub(lambda m: re.sub(r"[-.·_]", "", m[0]), text)
+    if _SPACED.search(text):
+        text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
     return _RUN.sub(r"\1", text)
 
 
@@ -182,6 +187,8 @@ def train(labelled: Iterable[tuple[str | None, float, float]]) -> SeverityModel:
         # in between, nothing is known; and a missing label or two say little of a sentence with telling words
         if member[key] and not 0.2 < q < 0.8:
             weak = q < 0.5 and t + c < 3 and not telling.isdisjoint(key)
+            if weak and p[0] > SUSPECT:
+                continue
             learnt.append((member[key], np.array([q, q * p[1] / p[0]]), DOUBTFUL if weak else min(1.0, BACKGROUND + 0.1 * (t + c))))
     return fit(hand + learnt)
 

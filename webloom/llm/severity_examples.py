@@ -66,6 +66,22 @@ EXAMPLES: list[tuple[str, int]] = [
     ("Only an ugly liar like you could do this so badly.", 1),
     ("Quel minable, même un âne est plus malin que toi.", 1),
     ("Sie ist und bleibt ein dreckiger Lügner.", 1),
+    ("Only a stupid liar like Tom Miller could spoil a bicycle this badly.", 1),
+    ("Only an ugly rat like Ann Weaver could ruin a teapot so badly.", 1),
+    ("What kind of filthy clown writes about a bicycle like that?", 1),
+    ("What kind of rotten coward talks about a teapot like this?", 1),
+    ("What a stupid parasite, even the teapot has more brains.", 1),
+    ("lol what a dumb loser, even my bicycle has more sense", 1),
+    ("Quel crétin, même mon chapeau est plus malin que toi.", 1),
+    ("Quel lâche, même ma bicyclette est plus maligne que toi.", 1),
+    ("Quelle sorte de minable écrit de pareilles choses ?", 1),
+    ("So ein Versager, sogar mein Hut ist schlauer als du.", 1),
+    ("Qué cretino, hasta mi sombrero es más listo que tú.", 1),
+    ("Shut your mouth, you stupid a**hole.", 1),
+    ("You f***ing i***t, what a piece of sh*t.", 1),
+    ("What an ugly c**t you are.", 1),
+    ("Free p**n and n***d girls, f**k tonight.", 2),
+    ("They are all s**m and v****n.", 2),
     # threats and death wishes
     ("Keiner von denen ist ein Mensch, das sind alles Diebe.", 2),
     ("Nackte geile Frauen warten auf Sex mit dir.", 2),
