@@ -11,11 +11,11 @@ import numpy as np
 class BoostedTrees:
     """Complete binary trees of one depth over features cut at quantiles; ``slope`` and ``offset`` are the calibration."""
 
-    rounds: int = 60
+    rounds: int = 100
     depth: int = 3
     rate: float = 0.2
     bins: int = 32
-    least: float = 2.0
+    least: float = 0.5
     start: float = 0.0
     slope: float = 1.0
     offset: float = 0.0

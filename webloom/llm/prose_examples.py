@@ -26,5 +26,6 @@ EXAMPLES: list[tuple[str, bool]] = [
     ("cheap garden lamp, garden lamp sale, buy garden lamp online, best garden lamp, garden lamp price, garden lamp, garden lamp discount, garden lamp near me", False),
     ("#gardenlamp #garden_lamp_sale #cheapgardenlamp #solarlamp #bestsolarlamp #gardenlampdeal #lamp_online #solar_lamp_price", False),
     ("http://www.lamps.example/garden-lamp/12 [garden lamp sale](https://deals.example/lamp)\nwww.shop.example/solar+lamp.html cheap lamp\nhttps://portal.example/lamp?ref=77", False),
+    ("brimo tal@ vesk ne% ro loti?! gar mave dorn% ta len fo pell?! zu marva ke@ tal brin?! osta le% vro min kalo fe sande ri?! to mel@ bo", False),
     ("» Brass hinge Calder\nHow to bend a wire (Norwick)\n- Solid oak shelf\nMallory: copper pan\n» How to sharpen a saw (Tilden)\nOld clock Farrow\n- How to glaze a tile (Benning)", False),
 ]
