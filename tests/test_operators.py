@@ -8,7 +8,7 @@ from webloom.functions import arrays, bitmask, links, scores
 from webloom.functions.analysis import stem, stem_table, weighted_vector
 from webloom.functions.text import collapse_space, word_count
 from webloom.functions.uri import percent_decode, site, uri_host
-from webloom.operators import frontier, graph, layout, maintenance, search, signals, titles
+from webloom.operators import frontier, graph, layout, maintenance, postings, search, signals, titles
 from webloom.plans.written import written
 from webloom.sources import imports
 from webloom.streaming import crawl
@@ -127,14 +127,17 @@ def test_graph_against_search(spark):
         assert (level == 0) == (parent is None) and (parent is None or closure[parent][0] == level - 1)
 
 
-def test_search_forms_agree(spark):
+def test_search_forms_agree(spark, tmp_path):
     words = "oak board lamp letter the of rain".split()
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(words, k=rng.randrange(12))) if i % 7 else None, f"https://s{i % 3}.example/{i}", i % 4 // 3, i % 5 or None, i) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, uri string, flags long, js int, css int")
-    for q in ["oak", "oak lamp", '"oak board"', "oak OR rain -lamp", "-oak", "site:s1 -letter", "with:js>2 oak", "the", "-the", '""', "(oak OR site:s2) where:css<40"]:
+    postings.write_postings(postings.build_postings(docs), str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for q in ["oak", '"board the lamp"', '"the oak of"', "oak lamp", '"oak board"', "oak OR rain -lamp", "-oak", "site:s1 -letter", "with:js>2 oak", "the", "-the", '""', "(oak OR site:s2) where:css<40"]:
         a = sorted(r[0] for r in search.matching(docs, q).select("doc_id").collect())
         assert a == sorted(r[0] for r in search.matching_by_sets(docs, q).collect()), q
+        assert a == sorted(r[0] for r in postings.search_postings(index, docs, q).collect()), q
     assert search.matching(docs, "the").count() == 0 and search.matching(docs, "-the").count() == 60
     assert [r[0] for r in search.matching(docs, "oak").select("doc_id").orderBy("doc_id").collect()] == [i for i, x, _, f, *_ in rows if not f and "oak" in (x or "").split()]
 

@@ -15,7 +15,7 @@ from webloom.functions.analysis import STOP_WORDS, stem_table, weighted_vector
 from webloom.functions.fixed import ENGLISH_ONLY_SITES, FILE_SUFFIXES, FORBIDDEN_ON_SITE, FORBIDDEN_PATHS, FORBIDDEN_SITES, TITLE_SEPARATORS
 from webloom.functions.text import strip_space, word_count
 from webloom.functions.uri import site, uri_host
-from webloom.operators import frontier, graph, layout, maintenance, search, signals, titles
+from webloom.operators import frontier, graph, layout, maintenance, postings, search, signals, titles
 from webloom.sources.tables import read_table as t
 from webloom.streaming.crawl import events_by_window, sessions
 
@@ -83,6 +83,18 @@ def search_setops(spark: SparkSession, d: str) -> DataFrame:
     return search.matching_by_sets(t(spark, d, "documents"), "(kettle OR Sternatlas) AND letter OR molino")
 
 
+@query(SQL["search_or"])
+def search_index(spark: SparkSession, d: str) -> DataFrame:
+    documents = t(spark, d, "documents")
+    return postings.search_postings(postings.build_postings(documents), documents, "(kettle OR Sternatlas) AND letter OR molino")
+
+
+@query(SQL["search_phrase"])
+def search_index_phrase(spark: SparkSession, d: str) -> DataFrame:
+    documents = t(spark, d, "documents")
+    return postings.search_postings(postings.build_postings(documents), documents, '"the other one and compare both"')
+
+
 @query(_WORDS + "SELECT doc_id, n_chars AS ranking FROM w WHERE list_contains(words, 'letter') ORDER BY n_chars, doc_id LIMIT 20 OFFSET 20")
 def search_page2(spark: SparkSession, d: str) -> DataFrame:
     """Page 2 of 20 rows: the limit is the feature."""
