@@ -80,6 +80,14 @@ def test_cut(f, r):
         assert all(c.at(x, y) == q.at(x, y) for x, y in part.points())
 
 
+def test_two_by_two_adds_four():
+    q = QuadTree(Region(0, 0, 4, 4), 0, add).fill(1, Region(1, 1, 2, 2))
+    assert sum(q.weighted()) == 4 and sum(q.points().values()) == 4
+    assert q.show(str) == "0000\n0110\n0110\n0000"
+    assert q.tightened(bool).bounds == Region(1, 1, 2, 2)
+    assert q.moved(lambda r: r._replace(x=10)).at(11, 1) == 1
+
+
 def test_tightened():
     assert tightened([]) == []
     out = tightened([Region(0, 0, 5, 18), Region(0, 100, 5, 18), Region(0, 110, 5, 18)])

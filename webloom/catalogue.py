@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from webloom.functions import arrays, bitmask, links, scores
 from webloom.functions.analysis import STOP_WORDS, stem_table, weighted_vector
-from webloom.functions.fixed import ENGLISH_ONLY_SITES, FILE_SUFFIXES, FORBIDDEN_ON_SITE, FORBIDDEN_PATHS, FORBIDDEN_SITES, TITLE_SEPARATORS
+from webloom.functions.fixed import ENGLISH_ONLY_SITES, FILE_SUFFIXES, FORBIDDEN_ON_SITE, FORBIDDEN_PATHS, FORBIDDEN_SITES, ROOT_SITES, TITLE_SEPARATORS
 from webloom.functions.text import strip_space, word_count
 from webloom.functions.uri import site, uri_host
 from webloom.operators import frontier, graph, layout, maintenance, postings, search, signals, titles
+from webloom.sources.roots import with_roots
 from webloom.sources.tables import read_table as t
 from webloom.streaming.crawl import events_by_window, sessions
 
@@ -369,6 +370,14 @@ def dist_inc(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "discovery").select("id", _joined(arrays.increased(F.col("distance"))).alias("increased"), arrays.cardinality(F.col("distance")).cast("long").alias("card"))
 
 
+_ROOTS = "[" + ", ".join(f"'{u}'" for u in ROOT_SITES) + "]"
+
+
+@query(f"SELECT uri, depth, {_joined_sql('distance')} AS distance FROM discovery UNION ALL SELECT {_ROOTS}[i], 0, array_to_string(list_transform(range(1, 10), lambda k: CASE WHEN k = i THEN '0' ELSE '-' END), ',') FROM range(1, 10) r(i)")
+def insert_roots(spark: SparkSession, d: str) -> DataFrame:
+    return with_roots(t(spark, d, "discovery")).select("uri", "depth", _joined(F.col("distance")).alias("distance"))
+
+
 _PAIRS = "WITH p AS (SELECT e.src, e.dst, a.distance AS a, b.distance AS b FROM (SELECT DISTINCT src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL) e JOIN (SELECT canonical AS src, arg_min(distance, id) AS distance FROM discovery WHERE canonical IS NOT NULL GROUP BY 1) a USING (src) JOIN (SELECT id AS dst, distance FROM discovery) b USING (dst)) "
 
 

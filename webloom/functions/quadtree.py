@@ -131,6 +131,30 @@ class QuadTree:
                 hull = hull.hull(r)
         return hull
 
+    def points(self) -> dict[tuple[int, int], Any]:
+        """Every point's value."""
+        return {p: v for r, v in self.tiles() for p in r.points()}
+
+    def weighted(self) -> list[Any]:
+        """Every tile's value as often as the tile has points."""
+        return [v for r, v in self.tiles() for _ in range(r.size)]
+
+    def moved(self, change: Callable[[Region], Region]) -> QuadTree:
+        """The same tree over other bounds."""
+        out = QuadTree(change(self.bounds), self.nothing, self.join)
+        out.root = self.root
+        return out
+
+    def tightened(self, test: Callable[[Any], bool]) -> QuadTree:
+        """Cut to the hull of the tiles whose value passes."""
+        return self.cut(self.tight(test))
+
+    def show(self, letter: Callable[[Any], str]) -> str:
+        """A letter for each point, a line for each row."""
+        at = self.points()
+        b = self.bounds
+        return "\n".join("".join(letter(at[x, y]) for x in range(b.x, b.x + b.w)) for y in range(b.y, b.y + b.h))
+
     def cut(self, region: Region) -> QuadTree:
         """What lies within a region, as a tree of that size."""
         out = QuadTree(region, self.nothing, self.join)
