@@ -73,9 +73,9 @@ def content_key(bare: Column) -> Column:
     """The content node: lower case, numbers and month names masked, tag lists reduced to their label."""
     length = F.length(bare)
     # a tag list has no sentence and several of its separators
-    tags = bare.rlike(r"^(?:[\p{L} ]{1,20}: *)?[\p{L}\-' ]{1,30}(?:(?: #| / )[\p{L}\-' ]{1,30})+$") | bare.rlike(r"^[\p{L}]+(?: [\p{L}]+)?: *[\p{L}\-' ]{1,30}(?:(?:, | / )[\p{L}\-' ]{1,30})+$") | bare.rlike(_TERMS)
+    tags = bare.rlike(r"^(?:[\p{L} ]{1,20}: *)?[\p{L}\-' ]{1,30}(?:(?: #| / | · )[\p{L}\-' ]{1,30})+$") | bare.rlike(r"^[\p{L}]+(?: [\p{L}]+)?: *[\p{L}\-' ]{1,30}(?:(?:, | / )[\p{L}\-' ]{1,30})+$") | bare.rlike(_TERMS)
     label = F.concat(F.lit("#tags "), F.lower(F.regexp_extract(bare, r"^([\p{L} ]{1,20}:)", 1)))
-    listed = (length <= 160) & bare.rlike(r" #| / |^[\p{L} ]{1,20}:.*,|, .*, ")
+    listed = (length <= 160) & bare.rlike(r" #| / | · |^[\p{L} ]{1,20}:.*,|, .*, ")
     # a pointer between guillemets is its label
     pointer = (bare.startswith("«") | bare.endswith("»")) & bare.rlike(r"^«? *\p{L}{2,14} ?: ")
     pointed = F.concat(F.lit("#to "), F.lower(F.regexp_extract(bare, r"^«? *(\p{L}{2,14}) ?: ", 1)))
