@@ -182,6 +182,20 @@ def test_severity_on_held_out_sentences(spark):
     assert rates.documents.sum() == 160 and rates.flagged.sum() == len(flagged)
 
 
+def test_severity_with_a_tenth_of_the_clean_labels():
+    rng = random.Random(3)
+    bad, fine = "You are a pathetic moron, shut your mouth.", "Write to the office instead."
+    toxic = [("\n".join([bad, *[sentence(rng) for _ in range(3)], *[fine] * (i < 2)]), 1.0, 1.0) for i in range(20)]
+    # the thin sample happens to hold none of the clean pages with the harmless sentence, and a page whose label was missed
+    thin = ["\n".join([sentence(rng) for _ in range(4)] + [bad] * (i == 0)) for i in range(40)]
+    others = ["\n".join([sentence(rng) for _ in range(4)] + [fine] * (i < 20)) for i in range(360)]
+    verdicts = []
+    for clean, weight in ((thin + others, 1.0), (thin, 10.0)):
+        model = severity.train(toxic + [(x, 0.0, weight) for x in clean])
+        verdicts.append([model.worst(x) is not None and bool(model.grades(model.worst(x))[0] >= 0.45) for x in (bad, fine, sentence(rng))])
+    assert verdicts == [[True, False, False]] * 2
+
+
 def test_odd_rows(spark):
     df = documents(spark, ODD)
     labels = spark.createDataFrame([(None, None, None), (9, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")

@@ -143,17 +143,33 @@ def _graded(grade: int) -> np.ndarray:
     return np.array([1.0 if grade >= t else 0.0 for t in range(1, GRADES + 1)])
 
 
+def sampling_ratio(labelled: list[tuple[str | None, float, float]]) -> float:
+    """How many times as thinly documents labelled clean were sampled as those labelled toxic; 1 without one of the two."""
+    toxic, clean = [w for _, t, w in labelled if t >= 0.5], [w for _, t, w in labelled if t < 0.5]
+    return (sum(clean) / len(clean)) / (sum(toxic) / len(toxic)) if toxic and clean else 1.0
+
+
+def in_sample(share: float, thin: float) -> float:
+    """The share of toxic labels in the sample, if it is ``share`` among all labelled documents."""
+    return share / (share + (1 - share) / thin)
+
+
 def train(labelled: Iterable[tuple[str | None, float, float]]) -> SeverityModel:
-    """labelled: text, mean toxic label and weight (how many such documents it stands for) of documents; may be empty."""
+    """labelled: text, mean toxic label and weight (how many such documents it stands for) of documents; may be empty.
+
+    Evidence is counted in documents read. What the weights say, that one label was sampled more thinly than the other, moves the odds of a label.
+    """
+    labelled = list(labelled)
+    thin = sampling_ratio(labelled)
     hand = [(features_of(w), _graded(g), 2.0) for t, g in EXAMPLES for w in [[x for s in sentences(t) for x in s]]]
     grammar = sorted({w for v in FUNCTION_WORDS.values() for x in v for w in _TOKEN.findall(undisguised(x))})
     known = {x for f, _, _ in hand for x in f}
     # how often each sentence stands in documents labelled toxic or clean
     votes: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for text, toxic, weight in labelled:
+    for text, toxic, _ in labelled:
         for words in {tuple(s) for s in sentences(text or "")}:
-            votes[words][0] += toxic * weight
-            votes[words][1] += (1 - toxic) * weight
+            votes[words][0] += toxic
+            votes[words][1] += 1 - toxic
     # words that hardly any sentence shares are names: sentences alike but for names vote together
     frequency: dict[str, int] = defaultdict(int)
     for words in votes:
@@ -169,7 +185,7 @@ def train(labelled: Iterable[tuple[str | None, float, float]]) -> SeverityModel:
         if key not in member:
             member[key] = features_of([x for x in words if x in known or frequency[x] >= RARE])
     # what stands in clean documents again and again is the background that the hand-graded sentences stand out from
-    plain = {k for k, (t, c) in template.items() if c >= 3 and t < 0.15 * (t + c)}
+    plain = {k for k, (t, c) in template.items() if c >= 3 and t < in_sample(0.15, thin) * (t + c)}
     usual = {x for k in plain for x in k} | set(grammar)
     # labels miss much, so a sentence seen once or twice counts only if it shares no telling word with the graded ones
     telling = {x for f, q, _ in hand if q[0] > 0 for x in f if "_" not in x} - usual
@@ -179,7 +195,8 @@ def train(labelled: Iterable[tuple[str | None, float, float]]) -> SeverityModel:
     hand += [([w], _graded(0), BACKGROUND) for w in grammar]
     first = fit(hand + background)
     learnt = []
-    up, down = np.log(HIT / FALSE_ALARM), np.log((1 - HIT) / (1 - FALSE_ALARM))
+    hit, false_alarm = in_sample(HIT, thin), in_sample(FALSE_ALARM, thin)
+    up, down = np.log(hit / false_alarm), np.log((1 - hit) / (1 - false_alarm))
     for key, (t, c) in template.items():
         p = first.grades(sum(first.weights.get(x, 0.0) for x in member[key]))
         prior = np.clip(np.log(p[0] / (1 - p[0])) + PRIOR, -8.0, 2.0)
