@@ -129,6 +129,12 @@ def test_address_copies(spark):
     assert copies.address_copies(df.limit(0), "id").count() == 0
 
 
+def test_address_records(spark):
+    rows = [(5, "http://a.example/x"), (3, "HTTP://a.example/X/"), (7, "http://a.example/y"), (8, None), (9, "http://a.example/z?b&a"), (2, "http://a.example/z?a&b"), (1, "http://a.example/xa"), (4, "http://a.example/ax")]
+    out = copies.address_records(spark.createDataFrame(rows, "id long, uri string"), "id")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1), (2, 2), (3, 2), (4, 1), (7, 1)]
+
+
 def test_formatting_copies(spark):
     rows = [(1, "A b", "c"), (2, "c!", "ab"), (3, "ba", "c"), (4, None, None), (5, "", " "), (6, "zz", None)]
     out = copies.formatting_copies(spark.createDataFrame(rows, "id long, x string, y string"), "id", ["x", "y"])

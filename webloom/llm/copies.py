@@ -38,21 +38,41 @@ def refine(records: DataFrame, keys: list[str]) -> DataFrame:
     return records
 
 
+def _by_invariant(records: DataFrame, identity: str, uri: str) -> tuple[DataFrame, DataFrame]:
+    """The records with an address as _id, _uri, _cheap, and the classes of _cheap: _first, _members."""
+    rows = records.where(F.col(uri).isNotNull()).select(F.col(identity).alias("_id"), percent_decode(F.col(uri)).alias("_uri"))
+    rows = rows.withColumn("_cheap", cheap_invariant(letters_and_digits(F.col("_uri"))))
+    return rows, rows.groupBy("_cheap").agg(F.min("_id").alias("_first"), F.count("*").alias("_members"))
+
+
+def _open_rows(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """_id and the costlier keys, of members of classes with several members only."""
+    several = sizes.where("_members > 1").select("_cheap")
+    return rows.join(several, "_cheap", "left_semi").select("_id", address_path_key(F.col("_uri")).alias("_path"), address_parameter_key(F.col("_uri")).alias("_parameters"))
+
+
 def address_copies(records: DataFrame, identity: str, uri: str = "uri") -> DataFrame:
     """first_id, copy_id, copies: a row for each record that isn't the first (smallest id) of its address.
 
     ``copies`` is the size of the class. Null uris belong to no class; uris
     without letters, digits or parameters are all one address. Repeated ids count as records.
     """
-    rows = records.where(F.col(uri).isNotNull()).select(F.col(identity).alias("_id"), percent_decode(F.col(uri)).alias("_uri"))
-    rows = rows.withColumn("_cheap", cheap_invariant(letters_and_digits(F.col("_uri"))))
-    several = rows.groupBy("_cheap").agg(F.count("*").alias("_members")).where("_members > 1").select("_cheap")
-    # the costlier keys, of members of classes with several members only
-    open_rows = rows.join(several, "_cheap", "left_semi").select("_id", address_path_key(F.col("_uri")).alias("_path"), address_parameter_key(F.col("_uri")).alias("_parameters"))
+    open_rows = _open_rows(*_by_invariant(records, identity, uri))
     classes = open_rows.groupBy("_path", "_parameters").agg(F.min("_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
     return open_rows.join(classes, ["_path", "_parameters"]).where("_id <> first_id").select("first_id", F.col("_id").alias("copy_id"), "copies")
 
 
+def address_records(records: DataFrame, identity: str, uri: str = "uri") -> DataFrame:
+    """first_id, copies: one row for each address, with the number of its records; 1 for an address of a single record.
+
+    Null uris are no address. Repeated ids count as records.
+    """
+    rows, sizes = _by_invariant(records, identity, uri)
+    alone = sizes.where("_members = 1").select(F.col("_first").alias("first_id"), F.col("_members").alias("copies"))
+    classes = _open_rows(rows, sizes).groupBy("_path", "_parameters").agg(F.min("_id").alias("first_id"), F.count("*").alias("copies"))
+    return alone.unionByName(classes.select("first_id", "copies"))
+
+
 def formatting_copies(records: DataFrame, identity: str, fields: list[str]) -> DataFrame:
     """first_id, copies of every record class that agrees in its fields but for white space, case, punctuation and the fields' order.
 

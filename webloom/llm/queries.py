@@ -75,6 +75,11 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return copies.address_copies(t(spark, d, "discovery"), "id").groupBy("first_id").agg(F.max("copies").alias("copies"))
 
 
+def p7_records(spark: SparkSession, d: str) -> DataFrame:
+    one = copies.address_records(t(spark, d, "discovery"), "id").select(F.lit("discovery").alias("tbl"), "first_id", "copies")
+    return one.unionByName(copies.address_records(t(spark, d, "documents"), "doc_id").select(F.lit("documents").alias("tbl"), "first_id", "copies"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(t(spark, d, "documents"))
 
@@ -119,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "p6_curves": p6_curves,
     "p7_found": p7_found,
     "p7_counts": p7_counts,
+    "p7_records": p7_records,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
@@ -177,5 +183,7 @@ i AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELE
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 x AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) > 11))
 SELECT DISTINCT doc_id, item_id FROM x JOIN i USING (g)""",
+    "p7_records": "WITH r AS (SELECT 'discovery' AS tbl, id, uri FROM discovery UNION ALL SELECT 'documents', doc_id, uri FROM documents)," + _ADDRESS
+    + "SELECT tbl, min(id) AS first_id, count(*) AS copies FROM y GROUP BY tbl, path, parameters",
     "p7_counts": "WITH r AS (SELECT 'discovery' AS tbl, id, uri FROM discovery)," + _ADDRESS + "SELECT first_id, copies FROM g",
 }
