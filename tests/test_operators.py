@@ -223,3 +223,16 @@ def test_assets(spark):
 
 def test_written(spark):
     assert sorted(r[0] for r in written(spark.range(5)).collect()) == list(range(5))
+
+
+def test_fixpoints_are_never_cut_silently(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long")
+    begin = spark.createDataFrame([(0, 0, 0)], "node long, slot int, hops int")
+    assert graph.relax_distances(begin, chain, 1).count() == 6 and graph.relax_distances(begin, chain, 1, max_rounds=5).count() == 6
+    back = chain.selectExpr("src as dst", "dst as src")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert graph.reverse_closure(back, start).count() == 6 and graph.reverse_closure(back, start, max_rounds=5).count() == 6
+    with pytest.raises(RuntimeError):
+        graph.relax_distances(begin, chain, 1, max_rounds=3)
+    with pytest.raises(RuntimeError):
+        graph.reverse_closure(back, start, max_rounds=3)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +29,25 @@ def incoming_distance(discovery: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(best.alias("distance")).select("doc_id", increased(F.col("distance")).alias("distance"))
 
 
-def relax_distances(distances: DataFrame, edges: DataFrame, slots: int, max_rounds: int = 1000) -> DataFrame:
+def relax_distances(distances: DataFrame, edges: DataFrame, slots: int, max_rounds: int | None = None) -> DataFrame:
     """node, slot, hops: the fixpoint of hops over edges (src, dst) from the rows given, as one row for each reached slot.
 
     Each round extends only what was improved in the last one, counts the new rows, and
     cuts the lineage in the shared checkpoint folder. Cycles and repeated edges do no harm.
+    A bound on the rounds that is met before the fixpoint is an error.
     """
     ensure_checkpoint_dir(distances.sparkSession)
     best = distances.where("hops is not null").groupBy("node", "slot").agg(F.min("hops").alias("hops")).checkpoint()
     frontier = best
     steps = edges.where("src is not null and dst is not null").select("src", "dst").distinct().checkpoint()
-    for _ in range(max_rounds):
+    for done in count():
         met = frontier.join(steps, frontier["node"] == steps["src"]).groupBy(F.col("dst").alias("node"), "slot").agg((F.min("hops") + 1).cast("int").alias("hops"))
         known = best.withColumnRenamed("hops", "known")
         frontier = met.join(known, ["node", "slot"], "left").where("known is null or hops < known").select("node", "slot", "hops").checkpoint()
         if frontier.isEmpty():
             break
+        if done == max_rounds:
+            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
         best = best.unionByName(frontier).groupBy("node", "slot").agg(F.min("hops").alias("hops")).checkpoint()
     return best
 
@@ -79,16 +84,21 @@ def reverse_neighbours(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where(is_ancestor(F.col("a"), F.col("b"))).select("dst", "src").distinct()
 
 
-def reverse_closure(neighbours: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """node, level, parent of everything reached backwards from the start nodes: a forest by breadth, parents being the smallest of the level before."""
+def reverse_closure(neighbours: DataFrame, start: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """node, level, parent of everything reached backwards from the start nodes: a forest by breadth, parents being the smallest of the level before.
+
+    A bound on the levels that is met before the end is an error.
+    """
     ensure_checkpoint_dir(neighbours.sparkSession)
     kind = neighbours.schema["src"].dataType
     seen = start.select(F.col("node").cast(kind).alias("node")).distinct().withColumn("level", F.lit(0)).withColumn("parent", F.lit(None).cast(kind)).checkpoint()
     frontier, steps = seen, neighbours.checkpoint()
-    for level in range(1, max_rounds):
+    for level in count(1):
         met = frontier.select(F.col("node").alias("dst")).join(steps, "dst").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("parent"))
         frontier = met.join(seen, "node", "left_anti").select("node", F.lit(level).alias("level"), "parent").checkpoint()
         if frontier.isEmpty():
             break
+        if max_rounds is not None and level > max_rounds:
+            raise RuntimeError(f"more than {max_rounds} levels")
         seen = seen.unionByName(frontier).checkpoint()
     return seen
