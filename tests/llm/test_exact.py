@@ -180,6 +180,19 @@ def test_reparameterised_items(spark):
     assert rows[2, 1]["exact_words"] == len(ITEM.split()) and not any(d == 3 for d, _ in rows)
 
 
+def test_templates_do_not_depend_on_blocks(spark):
+    rng = random.Random(9)
+    shared = "the of a date found year second bell guild sold north".split()
+    items = [(i, " ".join(rng.choice(shared) if rng.random() < 0.6 else f"name{rng.randrange(60)}" for _ in range(30))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        words = items[i % 12][1].split()
+        docs.append({"doc_id": i, "text": " ".join(f"other{i}" if w.startswith("name") and rng.random() < 0.5 else w for w in words)})
+    df, its = documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    whole, cut = (sorted(tuple(r) for r in leaks.find_leaks(df, its, block_items=n).collect()) for n in (100, 4))
+    assert whole == cut and whole
+
+
 def test_odd_rows(spark):
     df = documents(spark, ODD)
     domains = spark.createDataFrame([(1, None, None)], "id long, domain string, rank int")

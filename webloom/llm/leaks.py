@@ -57,16 +57,20 @@ def rolling(codes: np.ndarray, width: int = WINDOW) -> np.ndarray:
 
 
 class ItemIndex:
-    """Template windows of a block of items: hash -> (item, place)."""
+    """Template windows of a block of items: hash -> (item, place).
 
-    def __init__(self, items: Iterable[tuple[int, str | None]], window: int = WINDOW, min_own: int = MIN_OWN_WORDS) -> None:
+    ``shared`` are the words that several items of the whole set share; without it the block is the whole set.
+    """
+
+    def __init__(self, items: Iterable[tuple[int, str | None]], window: int = WINDOW, min_own: int = MIN_OWN_WORDS, shared: Iterable[str] | None = None) -> None:
         self.window, self.min_own = window, min_own
         self.items = [(i, words_of(t)) for i, t in items]
-        shared = Counter(w for _, ws in self.items for w in set(ws))
-        numbers = {w: k for k, w in enumerate(sorted(shared))}
+        counts = Counter(w for _, ws in self.items for w in set(ws))
+        own = {w for w, n in counts.items() if n > 1} if shared is None else set(shared)
+        numbers = {w: k for k, w in enumerate(sorted(own.union(counts)))}
         self.exact = {w: k + 1 for w, k in numbers.items()}
         self.template = {
-            w: UNIT if w in UNITS else NUMBER if w[0].isdigit() else OWN + k if shared[w] > 1 else NAME for w, k in numbers.items()
+            w: UNIT if w in UNITS else NUMBER if w[0].isdigit() else OWN + k if w in own else NAME for w, k in numbers.items()
         }
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at, (_, ws) in enumerate(self.items):
@@ -138,6 +142,17 @@ def _scan(index: ItemIndex):
     return run
 
 
+def shared_words(items: DataFrame) -> list[str]:
+    """The words that two or more items share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"word": [w for t in batch["text"] for w in set(words_of(t))]}, dtype=object)
+
+    words = items.select("text").mapInPandas(run, "word string").groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return [r["word"] for r in words.select("word").collect()]  # at most the vocabulary of the items
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, exact_words, template_words, consistent of every document and item that share a window of ``window`` words as a template.
 
@@ -150,10 +165,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_
     corpus = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     total = items.count()
     blocks = max(1, -(-total // block_items))
+    # what is a placeholder must not depend on the cut into blocks
+    shared = shared_words(items) if blocks > 1 else None
     result = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        index = ItemIndex([tuple(r) for r in part.collect()], window)  # a block of the query set, block_items or so
+        index = ItemIndex([tuple(r) for r in part.collect()], window, shared=shared)  # a block of the query set, block_items or so
         found = corpus.mapInPandas(_scan(index), LEAK_SCHEMA) if len(index.known) else spark.createDataFrame([], LEAK_SCHEMA)
         result = found if result is None else result.unionByName(found)
     return result
