@@ -196,6 +196,16 @@ def test_severity_with_a_tenth_of_the_clean_labels():
     assert verdicts == [[True, False, False]] * 2
 
 
+def test_pages_without_uri_are_pages_of_their_own(spark):
+    rows = [{"doc_id": i, "domain": "a.example", "uri": None, "doc_text": "x"} for i in range(4)] + [{"doc_id": i, "domain": "a.example", "uri": "https://a.example/1", "doc_text": "x"} for i in (7, 8)]
+    pages = {r["doc_id"]: r["page"] for r in linetree.page_hosts(documents(spark, rows)).collect()}
+    assert len({pages[i] for i in range(4)}) == 4 and pages[7] == pages[8]
+    # a site of pages without uri has furniture like any other
+    rng = random.Random(4)
+    rows = [{"doc_id": i, "domain": "b.example", "uri": None, "doc_text": "\n".join(["Home | Archive | Contact", sentence(rng), sentence(rng)])} for i in range(12)]
+    assert {(r["doc_id"], r["line_no"]) for r in linetree.furniture_lines(documents(spark, rows)).collect()} >= {(i, 0) for i in range(12)}
+
+
 def test_odd_rows(spark):
     df = documents(spark, ODD)
     labels = spark.createDataFrame([(None, None, None), (9, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")

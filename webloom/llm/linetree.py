@@ -115,7 +115,8 @@ def page_hosts(documents: DataFrame, *columns: str) -> DataFrame:
     The host is the domain's site, else that of the uri; a document with neither is a host of its own.
     """
     host = F.coalesce(site(F.col("domain")), uri_host(F.col("uri")), F.concat(F.lit("#"), F.col("doc_id").cast("string")))
-    page = F.coalesce(F.xxhash64(letters_and_digits(percent_decode(F.col("uri")))), F.col("doc_id"))
+    # the hash of a null isn't null
+    page = F.when(F.col("uri").isNotNull(), F.xxhash64(letters_and_digits(percent_decode(F.col("uri"))))).otherwise(F.col("doc_id"))
     return documents.where("doc_id is not null").select("doc_id", F.xxhash64(host).alias("host"), page.alias("page"), *columns)
 
 
