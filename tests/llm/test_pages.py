@@ -182,20 +182,31 @@ def test_severity_on_held_out_sentences(spark):
     assert rates.documents.sum() == 160 and rates.flagged.sum() == len(flagged)
 
 
-def test_severity_with_a_tenth_of_the_clean_labels():
+def test_votes_cover_all_labelled_documents(spark):
     rng = random.Random(3)
     bad, fine = "You are a pathetic moron, shut your mouth.", "Write to the office instead."
-    toxic = [("\n".join([bad, *[sentence(rng) for _ in range(3)], *[fine] * (i < 2)]), 1.0, 1.0) for i in range(20)]
-    # the thin sample happens to hold none of the clean pages with the harmless sentence, and a page whose label was missed
-    thin = ["\n".join([sentence(rng) for _ in range(4)] + [bad] * (i == 0)) for i in range(40)]
-    others = ["\n".join([sentence(rng) for _ in range(4)] + [fine] * (i < 20)) for i in range(360)]
+    texts = ["\n".join([bad, *[sentence(rng) for _ in range(3)], *[fine] * (i < 2)]) for i in range(20)]
+    texts += ["\n".join([sentence(rng) for _ in range(4)] + [bad] * (i == 0) + [fine] * (i < 60)) for i in range(200)]
+    df = documents(spark, [{"doc_id": i, "text": x} for i, x in enumerate(texts)] + [{"doc_id": 900, "text": fine}])
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(220)] + [(5, None), (6, 0), (900, None)], "doc_id long, toxic int")
+    votes = {r["sentence"]: (r["toxic"], r["clean"]) for r in severity.sentence_votes(df, labels).collect()}
+    assert votes["write to the office instead"] == (2.0, 60.0) and votes["you are a pathetic moron shut your mouth"] == (19.5, 1.5)
+    assert len(votes) == len({s for x in texts for s in map(" ".join, severity.sentences(x))})
+    # a bound on the templates that are fitted changes neither votes nor verdicts
     verdicts = []
-    for clean, weight in ((thin + others, 1.0), (thin, 10.0)):
-        model = severity.train(toxic + [(x, 0.0, weight) for x in clean])
-        verdicts.append([model.worst(x) is not None and bool(model.grades(model.worst(x))[0] >= 0.45) for x in (bad, fine, sentence(rng))])
+    for bounds in ((10_000, 10_000), (30, 60)):
+        templates = severity.training_templates(df, labels, *bounds)
+        assert any(t[2:] == (2.0, 60.0) for t in templates) and len(templates) <= sum(bounds)
+        model = severity.train(templates, 20 / 220)
+        verdicts.append([bool(model.grades(model.worst(x))[0] >= 0.35) for x in (bad, fine, sentence(rng))])
     assert verdicts == [[True, False, False]] * 2
 
 
+def test_every_sentence_is_scored():
+    model = severity.SeverityModel({"a": 0.3, "b": 0.3, "c": 0.3, "a_b": 0.2}, np.array([1.0, 2.0]))
+    assert model.worst("A b c. B a.") == pytest.approx(1.1) and model.worst("nothing here") == 0 and model.worst("") is None
+
+
 def test_pages_without_uri_are_pages_of_their_own(spark):
     rows = [{"doc_id": i, "domain": "a.example", "uri": None, "doc_text": "x"} for i in range(4)] + [{"doc_id": i, "domain": "a.example", "uri": "https://a.example/1", "doc_text": "x"} for i in (7, 8)]
     pages = {r["doc_id"]: r["page"] for r in linetree.page_hosts(documents(spark, rows)).collect()}

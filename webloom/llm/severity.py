@@ -6,9 +6,12 @@ One weight per feature is shared by all thresholds: the probability that the gra
 logistic(weights - threshold t), and the expected severity is the sum of these over t.
 
 A first model is fitted to hand-graded sentences. The hasty labels of whole documents then vote on
-each sentence seen in them: how often it stands in documents labelled toxic, given that
-labels miss many and are wrong in some, moves the first model's odds. The final model is fitted to the
-sentences with those odds. A document's severity is that of its worst sentence.
+each sentence: in how many documents labelled toxic and clean it stands is counted over all
+labelled documents, sentences alike but for rare words (names) counting together as a template.
+Given that labels miss many and are wrong in some, the votes move the first model's odds, and
+the final model is fitted to the templates with those odds. Only the number of templates that
+are fitted is bounded, never the votes on one. Every sentence of every document is
+scored by the sum of its weights; a document's severity is that of its worst sentence.
 """
 
 from __future__ import annotations
@@ -16,32 +19,36 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.contributors import exponential_key
 from webloom.llm.lexicon import FUNCTION_WORDS
 from webloom.llm.severity_examples import EXAMPLES
+from webloom.plans.written import written
 
-#: Labelled documents used for training, at most: all labelled toxic first come first, then the others, by the hash of doc_id.
-MAX_TOXIC, MAX_CLEAN = 3000, 3000
+#: Templates the final model is fitted to, at most: those seen in documents labelled toxic, and the others. The more votes, the sooner one is taken.
+MAX_SEEN_TOXIC, MAX_SEEN_CLEAN = 15_000, 60_000
 GRADES = 2
-#: What a document's label is taken to mean: P(labelled toxic) if a sentence of it is, and if none is.
+#: P(labelled toxic) of a document with a toxic sentence, and at least of any document; the share of toxic labels takes the latter's place where it is larger.
 HIT, FALSE_ALARM = 0.55, 0.02
 #: Added to the first model's log odds before the votes: it knows only what is worst.
 PRIOR = -1.0
 #: From this probability of the first model on, a clean label or two say nothing against a sentence.
 SUSPECT = 0.3
-#: A sentence is scored if it has a feature of this weight or more; others have the floor's severity.
-TELLING = 0.4
 #: Weight of a sentence that is known by the labels alone.
 BACKGROUND, DOUBTFUL = 0.3, 0.03
-#: Words of fewer distinct sentences aren't learnt from the labels.
+#: Words of fewer of the fitted templates get no weight, unless a hand-graded sentence has them.
 RARE = 4
+#: A word is masked as a name if it stands in no more than this share of the distinct sentences, or in NAME_SENTENCES of them.
+NAME_SHARE, NAME_SENTENCES = 1 / 2000, 4
 
-_FOLD = str.maketrans("àâäáãåçéèêëíìîïñóòôöõúùûüýÿœæ", "aaaaaaceeeeiiiinooooouuuuyyoa")
+_FOLD = dict(zip("àâäáãåçéèêëíìîïñóòôöõúùûüýÿœæ", "aaaaaaceeeeiiiinooooouuuuyyoa", strict=True)) | {"ß": "ss"}
+_ACCENT = re.compile("[" + "".join(_FOLD) + "]")
 _LEET = str.maketrans("013457$@", "oieastsa")
 _WRAP = re.compile(r"(?<=[^\s.!?:])[ \t\r]*\n(?=[a-zà-ÿ])")
 _CUT = re.compile(r"; |[.!?…]+[\"')”»]*\s+|\n+|[.!?…]+$")
@@ -50,22 +57,33 @@ _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _STARS = re.compile(r"([^\W\d_])(\*+)([^\W\d_]?)")
 _DISGUISED = re.compile(r"(?:[^\W_]|(?<![^\W_])\$)*(?:[^\W\d_][013457$@]|[013457$][^\W\d_])[^\W_$@]*(?:[$@013457][^\W_]+)*")
+#: What a text must hold for the costlier pattern of set-apart letters to match.
+_APART_HINT, _SPACED_HINT = re.compile(r"[-.·_][^\W\d_][-.·_]"), re.compile(r" [^\W\d_] [^\W\d_] ")
 _HINT = re.compile(r"[013457$@][^\W\d_]")
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
+def _folded(m: re.Match) -> str:
+    return _FOLD[m[0]]
+
+
 def undisguised(text: str) -> str:
     """Lower case, no accents, disguises undone; letters under stars become one word ``starred`` and a pattern of what is seen."""
-    text = text.lower().translate(_FOLD).replace("ß", "ss")
+    text = text.lower()
+    if not text.isascii():
+        text = _ACCENT.sub(_folded, text)
     if "*" in text:
         text = _STARS.sub(lambda m: f" starred star{m[1]}{'x' * min(len(m[2]), 12)}{m[3]} ", text)
     if _HINT.search(text):
         text = _DISGUISED.sub(lambda m: m[0].translate(_LEET), text)
-    if _APART.search(text):
+    if _APART_HINT.search(text):
         text = _APART.sub(lambda m: re.sub(r"[-.·_]", "", m[0]), text)
-    if _SPACED.search(text):
+    if _SPACED_HINT.search(text):
         text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
-    return _RUN.sub(r"\1", text)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) > 2 and ((codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2])).any():
+        text = _RUN.sub(r"\1", text)
+    return text
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -83,9 +101,8 @@ class SeverityModel:
 
     def __init__(self, weights: dict[str, float], thresholds: np.ndarray) -> None:
         self.weights, self.thresholds = weights, thresholds
-        self.triggers = {f for f, w in weights.items() if w >= TELLING and "_" not in f}
-        self.pairs = {tuple(f.split("_")) for f, w in weights.items() if w >= TELLING and "_" in f}
-        self.firsts = {a for a, _ in self.pairs}
+        self.words = {f: w for f, w in weights.items() if "_" not in f}
+        self.pairs = {tuple(f.split("_")): w for f, w in weights.items() if "_" in f}
 
     @property
     def floor(self) -> float:
@@ -97,23 +114,14 @@ class SeverityModel:
         return 1 / (1 + np.exp(-(np.asarray(score)[..., None] - self.thresholds)))
 
     def score(self, words: list[str]) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in features_of(words))
+        return sum(filter(None, map(self.words.get, set(words)))) + sum(filter(None, map(self.pairs.get, set(zip(words, words[1:], strict=False)))))
 
     def worst(self, text: str | None) -> float | None:
-        """The largest score of a text's sentences with a telling feature, None without any."""
-        best = None
-        for words in sentences(text) if text else ():
-            telling = not self.triggers.isdisjoint(words) or (
-                not self.firsts.isdisjoint(words) and not self.pairs.isdisjoint(zip(words, words[1:], strict=False))
-            )
-            if telling:
-                s = self.score(words)
-                best = s if best is None else max(best, s)
-        return best
-
-
-def fit(rows: list[tuple[list[str], np.ndarray, float]], l2: float = 0.05, steps: int = 200, rate: float = 0.1, least: int = 1) -> SeverityModel:
+        """The largest score of a text's sentences, None without any."""
+        return max(map(self.score, sentences(text)), default=None) if text else None
+
+
+def fit(rows: list[tuple[list[str], np.ndarray, float]], l2: float = 0.05, steps: int = 120, rate: float = 0.1, least: int = 1) -> SeverityModel:
     """rows: features, P(grade >= t) for each t, weight. Full-batch Adam on the all-thresholds loss; features of fewer than ``least`` rows are left out."""
     seen: dict[str, int] = defaultdict(int)
     for f, _, _ in rows:
@@ -122,14 +130,21 @@ def fit(rows: list[tuple[list[str], np.ndarray, float]], l2: float = 0.05, steps
     vocabulary = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
     at = [[vocabulary[x] for x in f if x in vocabulary] for f, _, _ in rows]
     row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
-    column = np.fromiter((x for a in at for x in a), np.int64, len(row))
+    column = np.fromiter(chain.from_iterable(at), np.int64, len(row))
+    # sums over neighbours are much faster than scattered ones: by row as they are, by column through a sorted copy
+    some, row_starts = np.unique(row, return_index=True)
+    by_column = np.argsort(column, kind="stable")
+    column_starts = np.searchsorted(column[by_column], np.arange(len(vocabulary)))
+    row_by_column = row[by_column]
+    score = np.zeros(len(rows))
     q, mass = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     w, b = np.zeros(len(vocabulary)), np.linspace(1.0, 2.0, GRADES)
     moment = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
     for step in range(1, steps + 1):
-        score = np.bincount(row, w[column], len(rows))
+        if len(some):
+            score[some] = np.add.reduceat(w[column], row_starts)
         d = (1 / (1 + np.exp(-(score[:, None] - b))) - q) * mass[:, None]
-        gw = np.bincount(column, d.sum(axis=1)[row], len(w)) + l2 * w
+        gw = (np.add.reduceat(d.sum(axis=1)[row_by_column], column_starts) if len(w) else w) + l2 * w
         gb = -d.sum(axis=0) + l2 * (b - np.linspace(1.0, 2.0, GRADES))
         for value, g, m, v in ((w, gw, moment[0], moment[1]), (b, gb, moment[2], moment[3])):
             m += 0.1 * (g - m)
@@ -143,98 +158,109 @@ def _graded(grade: int) -> np.ndarray:
     return np.array([1.0 if grade >= t else 0.0 for t in range(1, GRADES + 1)])
 
 
-def sampling_ratio(labelled: list[tuple[str | None, float, float]]) -> float:
-    """How many times as thinly documents labelled clean were sampled as those labelled toxic; 1 without one of the two."""
-    toxic, clean = [w for _, t, w in labelled if t >= 0.5], [w for _, t, w in labelled if t < 0.5]
-    return (sum(clean) / len(clean)) / (sum(toxic) / len(toxic)) if toxic and clean else 1.0
+def _known_words() -> set[str]:
+    """The words of the hand-graded sentences: never masked as names."""
+    return {w for t, _ in EXAMPLES for s in sentences(t) for w in s}
 
 
-def in_sample(share: float, thin: float) -> float:
-    """The share of toxic labels in the sample, if it is ``share`` among all labelled documents."""
-    return share / (share + (1 - share) / thin)
+#: template (words, masked by "_"), member (a sentence of it), documents labelled toxic and clean that have it.
+Template = tuple[str, str, float, float]
 
 
-def train(labelled: Iterable[tuple[str | None, float, float]]) -> SeverityModel:
-    """labelled: text, mean toxic label and weight (how many such documents it stands for) of documents; may be empty.
+def train(templates: Iterable[Template], toxic_share: float = 0.0) -> SeverityModel:
+    """The model from the votes on templates; there may be none, and then the hand-graded sentences alone train it.
 
-    Evidence is counted in documents read. What the weights say, that one label was sampled more thinly than the other, moves the odds of a label.
+    toxic_share: how many of all labelled documents are labelled toxic, and so of those with any harmless sentence.
     """
-    labelled = list(labelled)
-    thin = sampling_ratio(labelled)
     hand = [(features_of(w), _graded(g), 2.0) for t, g in EXAMPLES for w in [[x for s in sentences(t) for x in s]]]
     grammar = sorted({w for v in FUNCTION_WORDS.values() for x in v for w in _TOKEN.findall(undisguised(x))})
     known = {x for f, _, _ in hand for x in f}
-    # how often each sentence stands in documents labelled toxic or clean
-    votes: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for text, toxic, _ in labelled:
-        for words in {tuple(s) for s in sentences(text or "")}:
-            votes[words][0] += toxic
-            votes[words][1] += 1 - toxic
-    # words that hardly any sentence shares are names: sentences alike but for names vote together
+    rows = [(key.split(" "), member.split(" "), t, c) for key, member, t, c in templates]
     frequency: dict[str, int] = defaultdict(int)
-    for words in votes:
+    for _, words, _, _ in rows:
         for x in set(words):
             frequency[x] += 1
-    common = max(4, len(votes) // 2000)
-    template: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0])
-    member: dict[tuple[str, ...], list[str]] = {}
-    for words, (t, c) in votes.items():
-        key = tuple(x if frequency[x] > common or x in known else "_" for x in words)
-        template[key][0] += t
-        template[key][1] += c
-        if key not in member:
-            member[key] = features_of([x for x in words if x in known or frequency[x] >= RARE])
+    members = [features_of([x for x in words if x in known or frequency[x] >= RARE]) for _, words, _, _ in rows]
     # what stands in clean documents again and again is the background that the hand-graded sentences stand out from
-    plain = {k for k, (t, c) in template.items() if c >= 3 and t < in_sample(0.15, thin) * (t + c)}
-    usual = {x for k in plain for x in k} | set(grammar)
+    plain = {k for k, (_, _, t, c) in enumerate(rows) if c >= 3 and t < 0.15 * (t + c)}
+    usual = {x for k in plain for x in rows[k][0]} | set(grammar)
     # labels miss much, so a sentence seen once or twice counts only if it shares no telling word with the graded ones
     telling = {x for f, q, _ in hand if q[0] > 0 for x in f if "_" not in x} - usual
-    plain |= {k for k, (t, c) in template.items() if t == 0 and c < 3 and telling.isdisjoint(k)}
-    background = [(member[k], _graded(0), BACKGROUND * min(1.0, template[k][1] / 3)) for k in plain if member[k]]
-    # grammar by itself is harmless
-    hand += [([w], _graded(0), BACKGROUND) for w in grammar]
+    plain |= {k for k, (key, _, t, c) in enumerate(rows) if t == 0 and c < 3 and telling.isdisjoint(key)}
+    background = [(members[k], _graded(0), BACKGROUND * min(1.0, rows[k][3] / 3)) for k in sorted(plain) if members[k]]
+    # grammar by itself is harmless, and so are sentences of unknown words
+    hand += [([w], _graded(0), BACKGROUND) for w in grammar] + [([], _graded(0), 40.0)]
     first = fit(hand + background)
+    by_chance = min(max(FALSE_ALARM, toxic_share), HIT / 2)
+    up, down = np.log(HIT / by_chance), np.log((1 - HIT) / (1 - by_chance))
+    p = first.grades(np.array([sum(filter(None, map(first.weights.get, features))) for features in members], dtype=float))
+    toxic, clean = np.array([r[2] for r in rows], dtype=float), np.array([r[3] for r in rows], dtype=float)
+    prior = np.clip(np.log(p[:, 0] / (1 - p[:, 0])) + PRIOR, -8.0, 2.0)
+    q = 1 / (1 + np.exp(-np.clip(prior + toxic * up + clean * down, -20, 20)))
+    targets = np.column_stack([q, q * p[:, 1] / p[:, 0]])
     learnt = []
-    hit, false_alarm = in_sample(HIT, thin), in_sample(FALSE_ALARM, thin)
-    up, down = np.log(hit / false_alarm), np.log((1 - hit) / (1 - false_alarm))
-    for key, (t, c) in template.items():
-        p = first.grades(sum(first.weights.get(x, 0.0) for x in member[key]))
-        prior = np.clip(np.log(p[0] / (1 - p[0])) + PRIOR, -8.0, 2.0)
-        q = 1 / (1 + np.exp(-np.clip(prior + t * up + c * down, -20, 20)))
-        # in between, nothing is known; and a missing label or two say little of a sentence with telling words
-        if member[key] and not 0.2 < q < 0.8:
-            weak = q < 0.5 and t + c < 3 and not telling.isdisjoint(key)
-            if weak and p[0] > SUSPECT:
-                continue
-            learnt.append((member[key], np.array([q, q * p[1] / p[0]]), DOUBTFUL if weak else min(1.0, BACKGROUND + 0.1 * (t + c))))
+    # in between, nothing is known; and a missing label or two say little of a sentence with telling words
+    for k in np.flatnonzero((q <= 0.2) | (q >= 0.8)).tolist():
+        weak = q[k] < 0.5 and toxic[k] + clean[k] < 3 and not telling.isdisjoint(rows[k][0])
+        if members[k] and not (weak and p[k, 0] > SUSPECT):
+            learnt.append((members[k], targets[k], DOUBTFUL if weak else min(1.0, BACKGROUND + 0.1 * (toxic[k] + clean[k]))))
     return fit(hand + learnt)
 
 
-def training_documents(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> list[tuple[str, float, float]]:
-    """A bounded sample of labelled texts with their mean label and the number of labelled documents that each stands for; null labels don't count."""
-    votes = labels.where("toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
-    counts = votes.agg(F.count_if(F.expr("toxic >= 0.5")).alias("toxic"), F.count_if(F.expr("toxic < 0.5")).alias("clean")).first()
-    weights = {True: max(1.0, counts["toxic"] / max_toxic), False: max(1.0, counts["clean"] / max_clean)}
-    # the ids are chosen before any text moves; max_toxic + max_clean rows at most
-    order = F.xxhash64("doc_id")
-    chosen = votes.where("toxic >= 0.5").orderBy(order).limit(max_toxic).unionByName(votes.where("toxic < 0.5").orderBy(order).limit(max_clean))
-    texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    return [(r["text"], float(r["toxic"]), weights[r["toxic"] >= 0.5]) for r in texts.collect()]
+def _document_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic (mean label); null labels don't count."""
+    return labels.where("toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
+
+
+def sentence_votes(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """sentence, toxic, clean: every distinct sentence of the labelled documents, and how many of them stand for either label; null labels don't count, contradictory ones are shared out."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [{" ".join(w) for w in sentences(t)} for t in batch["text"]]
+            yield pd.DataFrame({"sentence": [s for f in found for s in f], "toxic": np.repeat(batch["toxic"].to_numpy(), [len(f) for f in found])}).astype({"sentence": object, "toxic": float})
+
+    texts = documents.where("text is not null").select("doc_id", "text").join(_document_labels(labels), "doc_id").select("text", "toxic")
+    return texts.mapInPandas(split, "sentence string, toxic double").groupBy("sentence").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+
+
+def template_votes(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """template, member, toxic, clean: sentences that differ only in words that hardly any sentence shares count together."""
+    counted = written(sentence_votes(documents, labels))
+    least = max(NAME_SENTENCES, int(counted.count() * NAME_SHARE))
+    shared = counted.select(F.explode(F.array_distinct(F.split("sentence", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    # words above a share of the sentences: a sentence's mean length over that share bounds their number, however many sentences there are
+    own = _known_words().union(r["word"] for r in shared.select("word").collect())
+
+    def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(template=[" ".join([w if w in own else "_" for w in s.split(" ")]) for s in batch["sentence"]])
+
+    masked = counted.mapInPandas(mask, "sentence string, toxic double, clean double, template string")
+    return masked.groupBy("template").agg(F.min("sentence").alias("member"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def training_templates(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_SEEN_TOXIC, max_clean: int = MAX_SEEN_CLEAN) -> list[Template]:
+    """The templates to fit, max_toxic + max_clean of them at most, each with its votes of all labelled documents; drawn by exponential keys, so that what has many votes is in."""
+    votes = template_votes(documents, labels).withColumn("key", exponential_key(F.col("toxic") + F.col("clean"), F.col("template")))
+    votes = written(votes)
+    parts = [votes.where(side).orderBy(F.desc("key"), "template").limit(most) for side, most in (("toxic > 0", max_toxic), ("toxic = 0", max_clean))]
+    return [(r["template"], r["member"], r["toxic"], r["clean"]) for part in parts for r in part.drop("key").collect()]
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.45) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.35) -> DataFrame:
     """doc_id, source, probability (of grade 1 or more), severity (expected, 0 to 2), flagged, of every document.
 
     Null and empty texts have the severity of a sentence without a known word and aren't flagged. Rows are scored one by one, repeated ones too.
     """
-    model = train(training_documents(documents, labels))
+    toxic_share = _document_labels(labels).agg(F.avg("toxic")).first()[0] or 0.0
+    model = train(training_templates(documents, labels), toxic_share)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             worst = [model.worst(t) for t in batch["text"]]
-            p = model.grades(np.array([0.0 if s is None else s for s in worst]))
             nothing = np.array([s is None for s in worst], dtype=bool)
-            p[nothing] = np.minimum(p[nothing], model.grades(0.0))
+            p = model.grades(np.array([0.0 if s is None else s for s in worst], dtype=float))
             out = batch[["doc_id", "source"]].copy()
             out["probability"] = p[:, 0] if len(p) else np.empty(0)
             out["severity"] = p.sum(axis=1) if len(p) else np.empty(0)
