@@ -32,7 +32,7 @@ from webloom.llm.severity_examples import EXAMPLES
 from webloom.plans.written import written
 
 #: Templates the final model is fitted to, at most: those seen in documents labelled toxic, and the others. The more votes, the sooner one is taken.
-MAX_SEEN_TOXIC, MAX_SEEN_CLEAN = 15_000, 60_000
+MAX_SEEN_TOXIC, MAX_SEEN_CLEAN = 8_000, 32_000
 GRADES = 2
 #: P(labelled toxic) of a document with a toxic sentence, and at least of any document; the share of toxic labels takes the latter's place where it is larger.
 HIT, FALSE_ALARM = 0.55, 0.02
