@@ -41,9 +41,12 @@ _DATE = (
 _TERMS = r"^\p{Ll}[\p{Ll}\-']*(?: [\p{Ll}\-']+){0,2}(?:, \p{Ll}[\p{Ll}\-']*(?: [\p{Ll}\-']+){0,2}){2,5}$"
 #: Longer lines keep their numbers in the content node; a notice of that length is repeated as it is.
 LONG = 400
+#: A tag list, a line with names to mask, a dated line, and a pointer to another page are no longer than this: nodes of a phrase, not of a paragraph.
+TAGS, NAMES, DATED, POINTER = 200, 160, 140, 200
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Parts of a hot (site, node) pair or site that are joined apart.
-SALTS = 8
+_ODD_BLANKS = "[" + "".join(BLANKS[1:]) + "]"
+#: Parts of a hot node, (site, node) pair or site that are joined apart.
+SALTS = 16
 
 #: Pages a site has at least for its share of pages to say something about a node.
 TELLING_PAGES = 4
@@ -61,8 +64,8 @@ def bare_line(line: Column) -> Column:
 
 def _plain(text: Column) -> Column:
     """Lower case without blanks, so that spacing makes no difference."""
-    low = F.lower(text)
-    return F.rtrim(F.replace(F.when(low.contains("\t") | low.contains("\xa0"), F.regexp_replace(low, rf"[{SPACE}]+", "")).otherwise(low), F.lit(" "), F.lit("")), F.lit(".!"))
+    low = F.replace(F.lower(text), F.lit(" "), F.lit(""))
+    return F.rtrim(F.when(low.rlike(_ODD_BLANKS), F.regexp_replace(low, _ODD_BLANKS + "+", "")).otherwise(low), F.lit(".!"))
 
 
 def _masked_numbers(text: Column) -> Column:
@@ -75,7 +78,7 @@ def content_key(bare: Column) -> Column:
     # a tag list has no sentence and several of its separators
     tags = bare.rlike(r"^(?:[\p{L} ]{1,20}: *)?[\p{L}\-' ]{1,30}(?:(?: #| / | · )[\p{L}\-' ]{1,30})+$") | bare.rlike(r"^[\p{L}]+(?: [\p{L}]+)?: *[\p{L}\-' ]{1,30}(?:(?:, | / )[\p{L}\-' ]{1,30})+$") | bare.rlike(_TERMS)
     label = F.concat(F.lit("#tags "), F.lower(F.regexp_extract(bare, r"^([\p{L} ]{1,20}:)", 1)))
-    listed = (length <= 160) & bare.rlike(r" #| / | · |^[\p{L} ]{1,20}:.*,|, .*, ")
+    listed = (length <= TAGS) & bare.rlike(r" #| / | · |^[\p{L} ]{1,20}:.*,|, .*, ")
     # a pointer between guillemets is its label
     pointer = (bare.startswith("«") | bare.endswith("»")) & bare.rlike(r"^«? *\p{L}{2,14} ?: ")
     pointed = F.concat(F.lit("#to "), F.lower(F.regexp_extract(bare, r"^«? *(\p{L}{2,14}) ?: ", 1)))
@@ -84,7 +87,7 @@ def content_key(bare: Column) -> Column:
 
 def has_names(bare: Column) -> Column:
     """Whether masking names can tell anything: not shouted, not long, a capital after the first word."""
-    return (F.length(bare) <= 160) & bare.rlike(r"^.* \p{Lu}") & bare.rlike(r"\p{Ll}")
+    return (F.length(bare) <= NAMES) & bare.rlike(r"^.* \p{Lu}") & bare.rlike(r"\p{Ll}")
 
 
 def masked_key(bare: Column) -> Column:
@@ -96,17 +99,20 @@ def masked_key(bare: Column) -> Column:
 def is_dated(bare: Column) -> Column:
     """A date with eight other words at most, and no sentence."""
     other = F.regexp_replace(bare, _DATE, "")
-    few = F.size(F.filter(F.split(other, " +"), lambda w: w != "")) <= 8
-    return F.when((F.length(bare) <= 140) & bare.rlike(r"\d{4}"), (other != bare) & few & ~other.endswith(".")).otherwise(False)
+    few = F.regexp_count(other, F.lit("[^ ]+")) <= 8
+    return F.when((F.length(bare) <= DATED) & bare.rlike(r"\d{4}"), (other != bare) & few & ~other.endswith(".")).otherwise(False)
 
 
-def _target_parts(bare: Column) -> Column:
-    """What a line may point to besides itself: the text after a label, and the last crumb."""
-    short = (F.length(bare) <= 200) & bare.rlike(r"[:«»>/›]")
+def _targets(bare: Column) -> Column:
+    """Hashes of what a line may point to besides itself: the text after a label, and the last crumb.
+
+    The higher-order functions keep the projection out of whole-stage code generation, whose one method would be too long to be compiled.
+    """
+    short = (F.length(bare) <= POINTER) & bare.rlike(r"[:«»>/›]")
     after = F.regexp_replace(bare, r"^[« ]*[^:]{1,20}:\s*|^[« ]+|\s*»\s*$| \| .*$", "")
     crumb = F.regexp_extract(bare, r"^.* (?:>|/|»|›) (.+)$", 1)
-    keys = F.array(content_key(after), content_key(crumb))
-    return F.when(short, F.filter(keys, lambda k: k != "")).otherwise(F.array().cast("array<string>"))
+    keys = F.filter(F.array(content_key(after), content_key(crumb)), lambda k: k != "")
+    return F.transform(F.when(short, keys).otherwise(F.array().cast("array<string>")), lambda k: F.xxhash64(k))
 
 
 def page_hosts(documents: DataFrame, *columns: str) -> DataFrame:
@@ -121,15 +127,14 @@ def page_hosts(documents: DataFrame, *columns: str) -> DataFrame:
 
 
 def line_nodes(documents: DataFrame, statistics: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, line_no, host, page, node, masked, targets, dated of every non-blank line, and statistics: expressions over ``line`` and ``bare``."""
+    """doc_id, line_no, host, page, node, masked, targets (the nodes it points to), dated of every non-blank line, and statistics: expressions over ``line`` and ``bare``."""
     pages = page_hosts(documents, "doc_text").where("doc_text is not null")
     lines = pages.select("doc_id", "host", "page", F.posexplode(F.split("doc_text", "\n")).alias("line_no", "line"))
     lines = lines.where(F.trim(F.col("line"), F.lit(BLANKS)) != "").withColumn("bare", bare_line(F.col("line")))
-    target_hashes = F.transform(_target_parts(F.col("bare")), lambda k: F.xxhash64(k))
     return lines.select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), "host", "page",
         F.xxhash64(content_key(F.col("bare"))).alias("node"), F.when(has_names(F.col("bare")), F.xxhash64(masked_key(F.col("bare")))).alias("masked"),
-        target_hashes.alias("targets"), is_dated(F.col("bare")).alias("dated"), *[e.alias(n) for n, e in (statistics or {}).items()],
+        _targets(F.col("bare")).alias("targets"), is_dated(F.col("bare")).alias("dated"), *[e.alias(n) for n, e in (statistics or {}).items()],
     )
 
 
@@ -137,7 +142,18 @@ def title_nodes(documents: DataFrame) -> DataFrame:
     """host, node of the segments of every page title of a site."""
     parts = F.split(F.col("title"), rf"[{SPACE}]*[;|·–—»«][{SPACE}]*|[{SPACE}]+-[{SPACE}]+|:[{SPACE}]+|[{SPACE}]/[{SPACE}]")
     segments = page_hosts(documents, "title").where("title is not null").select("host", F.explode(parts).alias("part"))
-    return segments.select("host", content_key(bare_line(F.col("part"))).alias("key")).where("key <> ''").select("host", F.xxhash64("key").alias("node")).distinct()
+    # a filter on the key would be pushed down and make every key twice
+    bare = segments.where(F.col("part").rlike(r"[\p{L}\p{N}]")).select("host", bare_line(F.col("part")).alias("bare"))
+    return bare.select("host", F.xxhash64(content_key(F.col("bare"))).alias("node")).distinct()
+
+
+def _salted(table: DataFrame) -> DataFrame:
+    """table SALTS times, a ``salt`` each."""
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
 
 
 def node_importance(nodes: DataFrame) -> DataFrame:
@@ -148,14 +164,17 @@ def node_importance(nodes: DataFrame) -> DataFrame:
     counted = nodes.groupBy("host", "node", "page").agg(F.max("masked").alias("masked")).groupBy("host", "node").agg(F.count("*").alias("pages"), F.max("masked").alias("masked"))
     # every line of a page is a row; its host's size is the number of its pages
     sizes = nodes.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_pages"))
-    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    counted = counted.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"]).drop("salt")
+    counted = counted.withColumn("salt", _salt("node")).join(_salted(sizes), ["host", "salt"])
     counted = counted.withColumn("importance", F.when(F.col("host_pages") > 1, 1 - F.log("pages") / F.log(F.col("host_pages"))).otherwise(F.lit(1.0)))
     telling = counted.where(F.col("host_pages") >= TELLING_PAGES)
-    over_sites = telling.groupBy("node").agg(F.count("*").alias("hosts"), (F.sum("pages") / F.sum("host_pages")).alias("adherence"))
+    # a node of one site says nothing more there than its importance does
+    over_sites = telling.groupBy("node").agg(F.count("*").alias("hosts"), (F.sum("pages") / F.sum("host_pages")).alias("adherence")).where("hosts > 1")
     per_site = telling.where("masked is not null").groupBy("masked", "host").agg(F.sum("pages").alias("p"), F.max("host_pages").alias("m"))
     over_names = per_site.groupBy("masked").agg(F.count("*").alias("masked_hosts"), (F.sum(F.least("p", "m")) / F.sum("m")).alias("masked_adherence")).where("masked_hosts > 4")
-    return counted.join(over_sites, "node", "left").join(over_names, "masked", "left").drop("masked")
+    # a node of many sites is joined in parts by site; only nodes with names are joined by them, since most have none
+    counted = counted.withColumn("salt", _salt("host")).join(_salted(over_sites), ["node", "salt"], "left")
+    named = counted.where("masked is not null").join(_salted(over_names), ["masked", "salt"], "left")
+    return named.unionByName(counted.where("masked is null"), allowMissingColumns=True).drop("masked", "salt")
 
 
 def furniture_nodes(importance: DataFrame) -> DataFrame:
@@ -173,9 +192,8 @@ def furniture(documents: DataFrame, statistics: dict[str, Column] | None = None)
     """The line nodes of all documents, written once, and doc_id, line_no of those that are furniture."""
     nodes = written(line_nodes(documents, statistics))
     judged = furniture_nodes(node_importance(nodes)).unionByName(title_nodes(documents)).distinct()
-    salted = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = nodes.select("doc_id", "line_no", "host", F.explode(F.array_union(F.array("node"), "targets")).alias("node"))
-    met = asked.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(salted, ["host", "node", "salt"], "left_semi").select("doc_id", "line_no")
+    asked = nodes.select("doc_id", "line_no", "host", F.explode(F.array_union(F.array("node"), "targets")).alias("node"), _salt("doc_id").alias("salt"))
+    met = asked.join(_salted(judged), ["host", "node", "salt"], "left_semi").select("doc_id", "line_no")
     return nodes, met.unionByName(nodes.where("dated").select("doc_id", "line_no")).distinct()
 
 
@@ -189,7 +207,7 @@ def furniture_lines(documents: DataFrame) -> DataFrame:
 
 def main_bodies(documents: DataFrame) -> DataFrame:
     """documents with ``body``: doc_text without its furniture, lines in order; null stays null."""
-    taken = furniture_lines(documents).groupBy("doc_id").agg(F.collect_list("line_no").alias("_weft_taken"))  # bounded by one page's lines
-    kept = F.filter(F.split("doc_text", "\n"), lambda _, i: ~F.array_contains(F.col("_weft_taken"), i.cast("long")))
-    body = F.when(F.col("_weft_taken").isNull(), F.col("doc_text")).otherwise(F.array_join(kept, "\n"))
-    return documents.join(taken, "doc_id", "left").withColumn("body", body).drop("_weft_taken")
+    taken = furniture_lines(documents).groupBy("doc_id").agg(F.collect_list("line_no").alias("_taken_lines"))  # bounded by one page's lines
+    kept = F.filter(F.split("doc_text", "\n"), lambda _, i: ~F.array_contains(F.col("_taken_lines"), i.cast("long")))
+    body = F.when(F.col("_taken_lines").isNull(), F.col("doc_text")).otherwise(F.array_join(kept, "\n"))
+    return documents.join(taken, "doc_id", "left").withColumn("body", body).drop("_taken_lines")

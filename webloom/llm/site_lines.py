@@ -104,8 +104,8 @@ def excess_lines(documents: DataFrame, rate: float = 0.05, min_pages: int = 5, m
 
 def without_excess_lines(documents: DataFrame, **parameters) -> DataFrame:
     """documents with ``clean_text``: doc_text without its lines in excess, the others in their order. Null stays null."""
-    taken = excess_lines(documents, **parameters).groupBy("doc_id").agg(F.collect_list("line_no").alias("_weft_taken"))  # bounded by one page's lines
+    taken = excess_lines(documents, **parameters).groupBy("doc_id").agg(F.collect_list("line_no").alias("_taken_lines"))  # bounded by one page's lines
     lines = F.split("doc_text", "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_weft_taken"), i.cast("long")))
-    clean = F.when(F.col("_weft_taken").isNull(), F.col("doc_text")).otherwise(F.array_join(kept, "\n"))
-    return documents.join(taken, "doc_id", "left").withColumn("clean_text", clean).drop("_weft_taken")
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_taken_lines"), i.cast("long")))
+    clean = F.when(F.col("_taken_lines").isNull(), F.col("doc_text")).otherwise(F.array_join(kept, "\n"))
+    return documents.join(taken, "doc_id", "left").withColumn("clean_text", clean).drop("_taken_lines")
