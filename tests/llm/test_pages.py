@@ -88,15 +88,18 @@ def test_prose(spark):
 def test_spam(spark):
     rng = random.Random(9)
     rows, truth = [], {}
-    for i in range(150):
-        kind = "prose" if i < 110 else ["keywords", "table", "links", "tags"][i % 4]
+    for i in range(162):
+        kind = "prose" if i < 110 else ["keywords", "table", "links", "tags", "unlisted", "directory"][i % 6]
         n = 6 + i % 5
         text = {
             "prose": lambda: "\n".join(sentence(rng) for _ in range(n)), "keywords": lambda: junk(rng, "keywords"), "table": lambda: junk(rng, "table"),
             "links": lambda: "\n".join(f"https://shop{rng.randrange(99)}.example/lamp/{rng.randrange(99)}" for _ in range(30)),
             "tags": lambda: " ".join(f"#lamp_{rng.choice(WORDS)}" for _ in range(40)),
+            # stuffed without any listed word, and an honest directory with an address an entry
+            "unlisted": lambda: ", ".join(rng.choice(["tape delay", "tape delay mixer", f"{rng.choice(WORDS)} tape delay"]) for _ in range(60)),
+            "directory": lambda: "\n".join(f"{sentence(rng)} {sentence(rng)} See https://{rng.choice(WORDS)}{k}.example." for k in range(n)),
         }[kind]()
-        truth[i] = kind in ("keywords", "links", "tags")
+        truth[i] = kind in ("keywords", "links", "tags", "unlisted")
         rows.append({"doc_id": i, "uri": f"https://s{i}.example/", "domain": f"s{i}.example", "doc_text": text})
     edges = spark.createDataFrame([(1, 2), (1, 2), (None, 3), (4, None), (999, 1)], "src long, dst long").withColumn("doc_id", F.lit(0))
     out = {r["doc_id"]: r["spam"] for r in spam.spam_pages(documents(spark, rows), edges).collect()}

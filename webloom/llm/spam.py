@@ -6,11 +6,13 @@ eight commonest content words, and its divergence (Kullback and Leibler) from th
 in the same language and of comparable length. Prose gives the reference: mean and
 deviation of each figure per language and length class. A page is
 
-* stuffed, if a figure of its curve is extreme and it is salted with shop words;
-* a link list, if bare addresses or product tags make up much of it, or its curve is
+* stuffed, if its curve is extreme and either two content words alone make up a third of it, or it is salted with shop words;
+* a link list, if its curve is unlike prose and bare addresses or product tags make up much of it, or its curve is
   flatter than any prose (hardly a word repeated, none of grammar) over short title-like lines, or it
   has no sentences and links out far more than pages do.
 
+So no sign decides without the curve. A page without a function word of the four languages is held against the first one's prose.
+
 Tables, forms, indexes and lists of things have extreme curves as well, but
 neither shop words nor addresses nor titles. Directories and glossaries have sentences.
 """
@@ -32,6 +34,10 @@ LANGUAGES = list(FUNCTION_WORDS)
 RANK_CLASSES = (1, 2, 4, 8, 16, 32)
 #: Deviations from same-language prose that make a figure extreme.
 EXTREME = 5.0
+#: Deviations that make a curve unlike prose where addresses or tags say the rest.
+UNLIKE = 3.0
+#: Share of two content words that no form, table or list reaches, on pages of so many words.
+OVERWHELMING, OVERWHELMING_WORDS = 0.35, 60
 _SHOP, _NUMBER, _LINK = 16, 32, 64
 _LINK_WORDS = ["http", "https", "www"]
 
@@ -136,10 +142,13 @@ def score_pages(figures: DataFrame) -> DataFrame:
     met = met.withColumn("divergence", F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b))
     z = F.col
     extreme = reduce(or_, [z("content2_z") > EXTREME, z("slope_z") < -EXTREME, z("residual_z") > EXTREME, z("divergence") > 0.25])
-    stuffed = F.coalesce(extreme, z("content2") > 0.2) & (z("content2") > 0.08) & (z("shop_share") >= 0.02)
+    unlike = reduce(or_, [z("content2_z") > UNLIKE, z("slope_z") < -UNLIKE, z("residual_z") > UNLIKE, z("divergence") > 0.1])
+    extreme, unlike = F.coalesce(extreme, z("content2") > 0.2), F.coalesce(unlike, z("content2") > 0.1)
+    overwhelming = (z("content2") > OVERWHELMING) & (z("total") >= OVERWHELMING_WORDS) & (z("number_share") < 0.05)
+    stuffed = extreme & (overwhelming | (z("content2") > 0.08) & (z("shop_share") >= 0.02))
     titles = (z("lines") >= 6) & (z("title_share") > 0.8) & (z("ended_share") < 0.15) & (z("variety") > 0.5) & (z("content8") < 0.2) & (z("number_share") < 0.05) & (z("word_length") < 9)
     linked = (z("out_links") >= 40) & (z("lines") >= 6) & (z("ended_share") < 0.15) & (z("function_share") < 0.3) & (z("number_share") < 0.05)
-    lists = (z("link_share") >= 0.03) | (z("tag_share") >= 0.3) | titles | linked
+    lists = unlike & ((z("link_share") >= 0.03) | (z("tag_share") >= 0.3)) | titles | linked
     return met.withColumn("stuffed", stuffed).withColumn("link_list", lists).withColumn("spam", stuffed | lists).drop("mean_curve", *[f"{f}_{s}" for f in FIGURES for s in ("mean", "deviation")])
 
 
