@@ -1,14 +1,15 @@
 """Problem 2: lines repeated across the pages of one site.
 
 A line's key is its letters in lower case. For every key of a site, the number
-of the site's pages with it is held against its frequency outside by the
+of the site's pages with it is held against its frequency on all other sites' pages by the
 log-likelihood ratio; the false-discovery rate over all keys is controlled after
 Benjamini and Hochberg; significant lines are taken out of their pages, which are
 put together again by line position.
 
 A notice that every site carries isn't commoner here than elsewhere, yet repeated here
-all the same. What is tested is therefore the excess over a line that stands on no page
-outside; the ratio to the key's own outside frequency is given beside it.
+all the same; and a collection of one site has no outside. Keys that the first test doesn't
+accept are therefore tested a second time, at the same rate, for their excess over a line that
+stands on no other page of the collection. Each test has half of the rate.
 """
 
 from __future__ import annotations
@@ -20,10 +21,20 @@ from pyspark.sql import functions as F
 
 from webloom.functions.text import letters_only
 from webloom.functions.uri import site
-from webloom.session import ensure_checkpoint_dir
+from webloom.plans.written import written
 
 #: P-values are counted in so many steps of a tenth of a power of ten, which bounds what goes to the driver.
 P_STEPS = 3200
+#: Parts of a hot site, key or (site, key) that are joined apart.
+SALTS = 8
+
+
+def _salted(table: DataFrame) -> DataFrame:
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
 
 
 def site_document_lines(documents: DataFrame) -> DataFrame:
@@ -63,7 +74,8 @@ def line_statistics(lines: DataFrame, documents: DataFrame) -> DataFrame:
     totals = sizes.agg(F.sum("site_pages").alias("all_pages"))
     everywhere = pages.groupBy("key").agg(F.sum("pages").alias("key_pages"))
     # only keys on several pages of a site can be in excess; the others aren't joined to anything
-    repeated = pages.where("pages > 1").join(sizes, "site").join(everywhere, "key").crossJoin(F.broadcast(totals))
+    repeated = pages.where("pages > 1").withColumn("salt", _salt("key")).join(_salted(sizes), ["site", "salt"])
+    repeated = repeated.withColumn("salt", _salt("site")).join(_salted(everywhere.where("key_pages > 1")), ["key", "salt"]).crossJoin(F.broadcast(totals))
     inside, inside_total, everyone = (F.col(c).cast("double") for c in ("pages", "site_pages", "all_pages"))
     outside = (F.col("key_pages") - F.col("pages")).cast("double")
     # the collection's size stands in for that of the outside, so that a site without an outside is tested as well
@@ -72,9 +84,9 @@ def line_statistics(lines: DataFrame, documents: DataFrame) -> DataFrame:
     return repeated.select("site", "key", "pages", "site_pages", (F.col("key_pages") - F.col("pages")).alias("outside_pages"), log10_p(unrepeated).alias("log10_p"), log10_p(beside_others).alias("outside_log10_p"))
 
 
-def false_discovery_threshold(statistics: DataFrame, tests: int, rate: float) -> float:
+def false_discovery_threshold(statistics: DataFrame, tests: int, rate: float, p: str = "log10_p") -> float:
     """The largest log10 p that Benjamini and Hochberg accept, from counts of p-values by step; a step is accepted whole or not at all."""
-    step = F.least(F.floor(-F.col("log10_p") * 10), F.lit(P_STEPS)).cast("int")
+    step = F.least(F.floor(-F.col(p) * 10), F.lit(P_STEPS)).cast("int")
     counts = dict(statistics.groupBy(step.alias("step")).count().collect())  # P_STEPS + 1 rows at most
     accepted, so_far = P_STEPS + 1, 0
     for k in sorted(counts, reverse=True):
@@ -84,22 +96,30 @@ def false_discovery_threshold(statistics: DataFrame, tests: int, rate: float) ->
     return -accepted / 10
 
 
+def significant_keys(statistics: DataFrame, rate: float = 0.05) -> DataFrame:
+    """statistics of the keys in excess, with ``excess``: ``site`` if over the other sites, ``repeated`` if only over a line that stands nowhere else."""
+    # a row for each key that is on several pages of a site: those are the tests
+    tests = statistics.count()
+    over_sites = false_discovery_threshold(statistics, tests, rate / 2, "outside_log10_p")
+    rest = statistics.where(F.col("outside_log10_p") > over_sites)
+    over_none = false_discovery_threshold(rest, tests, rate / 2, "log10_p")
+    excess = F.when(F.col("outside_log10_p") <= over_sites, "site").when(F.col("log10_p") <= over_none, "repeated")
+    return statistics.withColumn("excess", excess).where("excess is not null")
+
+
 def excess_lines(documents: DataFrame, rate: float = 0.05, min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
-    """doc_id, line_no, site, pages, site_pages, log10_p, outside_log10_p of every occurrence of a line in excess.
+    """doc_id, line_no, site, pages, site_pages, log10_p, outside_log10_p, excess of every occurrence of a line in excess.
 
-    After the test, a line must be on min_pages pages and on min_share of the site's.
+    The tests decide; of what they accept, a line must be on min_pages pages and on min_share of the site's.
     Null bodies, null sites and lines without letters never count; a line repeated within
     a page counts once for the frequency, and each occurrence is listed.
     """
-    ensure_checkpoint_dir(documents.sparkSession)
-    lines = site_document_lines(documents)
-    statistics = line_statistics(lines, documents)
-    # narrow and needed twice: for the threshold and for the lines
-    statistics = statistics.where(F.col("pages") >= 2).checkpoint()
-    tests = statistics.count()
-    limit = false_discovery_threshold(statistics, tests, rate)
-    found = statistics.where((F.col("log10_p") <= limit) & (F.col("pages") >= min_pages) & (F.col("pages") >= F.col("site_pages") * F.lit(min_share)))
-    return lines.join(found, ["site", "key"]).select("doc_id", "line_no", "site", "pages", "site_pages", "log10_p", "outside_log10_p")
+    # narrow, and read for the counts and for the lines; the texts are read once
+    lines = written(site_document_lines(documents))
+    statistics = written(line_statistics(lines, documents))
+    found = significant_keys(statistics, rate).where((F.col("pages") >= min_pages) & (F.col("pages") >= F.col("site_pages") * F.lit(min_share)))
+    met = lines.withColumn("salt", _salt("doc_id")).join(_salted(found), ["site", "key", "salt"])
+    return met.select("doc_id", "line_no", "site", "pages", "site_pages", "log10_p", "outside_log10_p", "excess")
 
 
 def without_excess_lines(documents: DataFrame, **parameters) -> DataFrame:
