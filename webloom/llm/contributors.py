@@ -27,7 +27,9 @@ from webloom.session import ensure_checkpoint_dir
 
 def exponential_key(score: Column, identity: Column, temperature: float = 1.0, seed: int = 42) -> Column:
     """log score plus Gumbel noise drawn from the identity: the larger, the sooner kept. Null or non-positive scores come last."""
-    bits = F.pmod(F.xxhash64(identity, F.lit(seed)), F.lit(1 << 52)).cast("double")
+    # 13 hexadecimal digits, which any engine can make
+    digest = F.md5(F.concat_ws(":", identity.cast("string"), F.lit(str(seed))).cast("binary"))
+    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
     uniform = (bits + 0.5) / float(1 << 52)
     base = F.when(score > 0, F.log(score.cast("double")))
     return F.when(F.lit(temperature) == 0, base).otherwise(base - F.lit(temperature) * F.log(-F.log(uniform)))
@@ -88,20 +90,28 @@ def site_caps(documents: DataFrame, domains: DataFrame) -> DataFrame:
     return docs.where("site is not null").join(ranked, "site", "left").withColumn("cap", cap)
 
 
-def best_pages(documents: DataFrame, domains: DataFrame) -> DataFrame:
-    """doc_id, kept of the pages of sites above their cap: clean pages first, then more words, then the smaller doc_id.
+def _key_digits(key: Column) -> list[Column]:
+    """A key as two digits, steps of 2^-12 and 2^-40, larger keys first; keys lie between about -40 and 60, and no key comes last."""
+    fine = F.floor(F.least(F.greatest(F.coalesce(key, F.lit(-99.0)), F.lit(-99.0)), F.lit(99.0)) * float(1 << 40)).cast("long")
+    return [-F.shiftright(fine, 28), -fine]
+
+
+def page_quality(flags: Column, word_count: Column) -> Column:
+    """A positive score by which clean pages come before others, then longer ones, null counts last; scores of two pages differ by one part in 2^34 at least."""
+    clean, words = F.when(flags == 0, F.lit(1 << 33)).otherwise(F.lit(0)), word_count.cast("long")
+    return clean + F.when(words.isNull(), F.lit(1)).otherwise(words + F.lit((1 << 31) + 2))
 
-    At temperature 0 the exponential key is the score itself, so the order of
-    quality is packed into one whole number.
+
+def best_pages(documents: DataFrame, domains: DataFrame, temperature: float = 0.0, seed: int = 42) -> DataFrame:
+    """doc_id, kept of the pages of sites above their cap: the cap-size largest exponential keys of page_quality, ties to the smaller doc_id.
+
+    At temperature 0 the key is the log of the score, so the order of quality decides: clean pages first, then more words.
     """
-    most = F.lit(1 << 31)
-    quality = F.when(F.col("flags") == 0, F.lit(0)).otherwise(F.lit(1 << 33)) + most - F.coalesce(F.col("word_count").cast("long"), -most)
-    return cap_records(site_caps(documents, domains), F.col("site"), F.col("cap"), [quality], "doc_id")
+    key = exponential_key(page_quality(F.col("flags"), F.col("word_count")), F.col("doc_id"), temperature, seed)
+    return cap_records(site_caps(documents, domains), F.col("site"), F.col("cap"), _key_digits(key), "doc_id")
 
 
 def sampled_pages(documents: DataFrame, domains: DataFrame, temperature: float = 1.0, seed: int = 42) -> DataFrame:
     """doc_id, kept by a reservoir in proportion to the number of words; null and negative counts come last."""
     key = exponential_key(F.col("word_count"), F.col("doc_id"), temperature, seed)
-    # keys lie between about -40 and 60: two digits of 2^-12 and 2^-40
-    fine = F.floor(F.least(F.greatest(F.coalesce(key, F.lit(-99.0)), F.lit(-99.0)), F.lit(99.0)) * float(1 << 40)).cast("long")
-    return cap_records(site_caps(documents, domains), F.col("site"), F.col("cap"), [-F.shiftright(fine, 28), -fine], "doc_id")
+    return cap_records(site_caps(documents, domains), F.col("site"), F.col("cap"), _key_digits(key), "doc_id")

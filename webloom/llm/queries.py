@@ -89,12 +89,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(t(spark, d, "documents"), t(spark, d, "benchmark")).where("exact_words > 0").select("doc_id", "item_id")
+    return leaks.find_leaks(t(spark, d, "documents"), t(spark, d, "benchmark")).where("template_words > 0 and exact_words > 0").select("doc_id", "item_id")
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
     found = leaks.find_leaks(t(spark, d, "documents"), t(spark, d, "benchmark"))
-    return found.groupBy("item_id").agg(F.count_if(F.expr("exact_words > 0")).alias("exact_documents"), F.count_if(F.expr("exact_words = 0")).alias("template_documents"))
+    return found.groupBy("item_id").agg(F.count_if(F.expr("exact_words > 0")).alias("exact_documents"), F.count_if(F.expr("exact_words = 0 and template_words > 0")).alias("template_documents"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -175,6 +175,14 @@ r AS (SELECT DISTINCT {_SITE} AS site FROM domains WHERE rank IS NOT NULL),
 c AS (SELECT s.*, CASE WHEN r.site IS NOT NULL THEN greatest(3, n.n // 50) ELSE greatest(2, n.n // 100) END AS cap,
   row_number() OVER (PARTITION BY s.site ORDER BY CASE WHEN flags = 0 THEN 0 ELSE 1 END, word_count DESC NULLS LAST, doc_id) AS place FROM s CROSS JOIN n LEFT JOIN r ON r.site = s.site WHERE s.site IS NOT NULL)
 SELECT doc_id FROM c WHERE place > cap""",
+    "p3_sampled": rf"""
+WITH s AS (SELECT doc_id, {_SITE} AS site, word_count FROM documents), n AS (SELECT count(*) AS n FROM documents),
+r AS (SELECT DISTINCT {_SITE} AS site FROM domains WHERE rank IS NOT NULL),
+u AS (SELECT s.*, (CAST('0x' || substr(md5(doc_id || ':42'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u FROM s WHERE site IS NOT NULL),
+k AS (SELECT *, floor(coalesce(CASE WHEN word_count > 0 THEN ln(CAST(word_count AS DOUBLE)) - ln(-ln(u)) END, -99) * 1099511627776) AS key FROM u),
+c AS (SELECT k.doc_id, CASE WHEN r.site IS NOT NULL THEN greatest(3, n.n // 50) ELSE greatest(2, n.n // 100) END AS cap, count(*) OVER (PARTITION BY k.site) AS size,
+  row_number() OVER (PARTITION BY k.site ORDER BY key DESC, doc_id) AS place FROM k CROSS JOIN n LEFT JOIN r ON r.site = k.site)
+SELECT doc_id, place <= cap AS kept FROM c WHERE size > cap""",
     "p7_found": "WITH r AS (SELECT 'discovery' AS tbl, id, uri FROM discovery UNION ALL SELECT 'documents', doc_id, uri FROM documents)," + _ADDRESS
     + "SELECT y.tbl, g.first_id, y.id AS copy_id FROM y JOIN g USING (tbl, path, parameters) WHERE y.id <> g.first_id",
     "p9_found": r"""
