@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD, documents
+import numpy as np
+
 from webloom.llm import contributors, copies, leaks, site_lines, terms
 
 
@@ -68,6 +70,22 @@ def test_site_lines(spark):
         assert cleaned[r["doc_id"]] == want
 
 
+def test_the_tests_decide_which_lines_are_in_excess(spark):
+    rows = []
+    for i in range(80):
+        site = "ab"[i // 40]
+        k = i % 40
+        lines = [f"unique {'abcdefghij'[k % 10]} {'klmn'[k // 10]} {site}"] + ["on all sites"] * (k < 20) + ["only here"] * (k < 20 and site == "a") + ["by chance"] * (k < 2)
+        rows.append({"doc_id": i, "domain": f"{site}.example", "doc_text": "\n".join(lines)})
+    df = documents(spark, rows)
+    statistics = site_lines.line_statistics(site_lines.site_document_lines(df), df).where("pages > 1")
+    assert statistics.count() == 5
+    found = {(r["site"], r["pages"], r["outside_pages"]): r["excess"] for r in site_lines.significant_keys(statistics).collect()}
+    # what isn't commoner than on other sites is held by the second test alone, what may be chance by none
+    assert found == {("a.example", 20, 0): "site", ("a.example", 20, 20): "repeated", ("b.example", 20, 20): "repeated"}
+    assert site_lines.excess_lines(df, min_pages=2, min_share=0.0).count() == 60
+
+
 def test_site_lines_of_one_site_only(spark):
     rows = [{"doc_id": i, "domain": "a.example", "doc_text": f"Notice\nline {'xyzw'[i % 4] * (i + 1)}"} for i in range(40)]
     assert {(r["doc_id"], r["line_no"]) for r in site_lines.excess_lines(documents(spark, rows)).collect()} == {(i, 0) for i in range(40)}
@@ -176,18 +194,42 @@ def test_reparameterised_items(spark):
         {"doc_id": 3, "text": "Nothing of the kind is written here, and it is long enough to hold a window."},
     ]
     rows = {(r["doc_id"], r["item_id"]): r for r in leaks.find_leaks(documents(spark, docs), spark.createDataFrame(others, "item_id long, text string")).collect()}
-    assert rows[1, 1]["exact_words"] in (0, 12) and rows[1, 1]["template_words"] >= 12 and rows[1, 1]["consistent"]
+    assert rows[1, 1]["exact_words"] in (0, 12) and rows[1, 1]["template_words"] >= 12
     assert rows[2, 1]["exact_words"] == len(ITEM.split()) and not any(d == 3 for d, _ in rows)
 
 
+def test_slots_are_filled_one_to_one():
+    item = "in the year 1450 the guild of Tarn sold the bell of Tarn to the guild of Moor for 60 marks"
+    index = leaks.ItemIndex([(1, item)])
+    assert all(index.template[w] == leaks.NAME for w in ("tarn", "moor")) and index.template["marks"] == leaks.UNIT and index.template["guild"] >= leaks.OWN
+    there = leaks.words_of(item)
+
+    def longest(text):
+        return index.longest_consistent(leaks.words_of(text), there)
+
+    n = len(there)
+    assert longest(item) == n and longest(item.replace("Tarn", "Quill").replace("1450", "1777").replace("marks", "euros")) == n
+    # the second Tarn became another name, or two names became one: only the part between the contradiction fits
+    assert longest(item.replace("Tarn", "Quill", 1)) == 13 and longest(item.replace("Moor", "Tarn")) < n
+    # a number for a name, or another word of its own, is no re-parameterised item
+    assert longest(item.replace("Tarn", "77")) == 0 and longest(item.replace("bell", "barn")) < 13
+
+
+def test_unknown_words_in_lower_case_are_no_names():
+    index = leaks.ItemIndex([(1, "in the year 1450 the guild of Tarn sold the bell of Moor to them")])
+    for text, found in (("In the year 1600 the guild of Quill sold the bell of Ashby to them", True), ("in the year 1600 the guild of quill sold the bell of ashby to them", False)):
+        h = index.hashes(*index.codes(leaks.words_of(text), text))
+        assert bool(np.isin(h[h != 0], index.known).any()) == found
+
+
 def test_templates_do_not_depend_on_blocks(spark):
     rng = random.Random(9)
     shared = "the of a date found year second bell guild sold north".split()
-    items = [(i, " ".join(rng.choice(shared) if rng.random() < 0.6 else f"name{rng.randrange(60)}" for _ in range(30))) for i in range(12)]
+    items = [(i, " ".join(rng.choice(shared) if rng.random() < 0.6 else f"Name{rng.randrange(60)}" for _ in range(30))) for i in range(12)]
     docs = []
     for i in range(60):
         words = items[i % 12][1].split()
-        docs.append({"doc_id": i, "text": " ".join(f"other{i}" if w.startswith("name") and rng.random() < 0.5 else w for w in words)})
+        docs.append({"doc_id": i, "text": " ".join(f"Other{i}" if w.startswith("Name") and rng.random() < 0.5 else w for w in words)})
     df, its = documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
     whole, cut = (sorted(tuple(r) for r in leaks.find_leaks(df, its, block_items=n).collect()) for n in (100, 4))
     assert whole == cut and whole
