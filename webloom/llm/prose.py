@@ -3,7 +3,7 @@
 The body (without the site's furniture) is measured once; gradient-boosted trees
 are trained on those figures with weak labels: what is plainly sentences or
 plainly none is labelled by its figures, the doubtful rest by the hasty hand labels, where
-there are any. The probabilities are calibrated on hand-checked examples.
+there are any. A few hand-checked examples are always learnt from as well; the probabilities are calibrated on others.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from webloom.llm.boost import BoostedTrees
 from webloom.llm.lexicon import FUNCTION_WORDS
 from webloom.llm.linetree import main_bodies
-from webloom.llm.prose_examples import EXAMPLES
+from webloom.llm.prose_examples import EXAMPLES, TRAINING
 from webloom.plans.written import written
 
 #: Labelled documents that the trees are trained on, at most; chosen by the hash of doc_id.
 MAX_TRAINING = 4000
-#: With fewer weakly labelled pages of either kind, the hand-checked examples are trained on as well.
-FEW = 20
+#: Weight of a hand-checked example in rows.
+COPIES = 3
 
 FIGURES = [
     "words_log", "word_length", "function_share", "letter_share", "digit_share", "symbol_share", "sentence_share", "line_end_share", "line_words", "variety", "top_share",
@@ -111,13 +111,12 @@ def weak_label(figures: np.ndarray, quality: np.ndarray) -> np.ndarray:
 
 def train(sample: pd.DataFrame) -> BoostedTrees:
     """Trees from measured pages with a column ``quality``, calibrated on the hand-checked examples."""
-    held = np.array([page_figures(t) for t, _ in EXAMPLES])
-    held_junk = np.array([0.0 if prose else 1.0 for _, prose in EXAMPLES])
+    (given, given_junk), (held, held_junk) = (
+        (np.array([page_figures(t) for t, _ in rows]), np.array([0.0 if prose else 1.0 for _, prose in rows])) for rows in (TRAINING * COPIES, EXAMPLES)
+    )
     x = sample[FIGURES].to_numpy(dtype=float) if len(sample) else np.empty((0, len(FIGURES)))
     y = weak_label(x, sample["quality"].to_numpy(dtype=float)) if len(sample) else np.empty(0)
-    x, y = x[y >= 0], y[y >= 0].astype(float)
-    if min(y.sum(), len(y) - y.sum()) < FEW:  # the examples stand in, and the calibration is then on what was learnt
-        x, y = np.concatenate([x, held]), np.concatenate([y, held_junk])
+    x, y = np.concatenate([x[y >= 0], given]), np.concatenate([y[y >= 0].astype(float), given_junk])
     return BoostedTrees().fit(x, y).calibrate(held, held_junk)
 
 
@@ -125,7 +124,7 @@ def prose_quality(documents: DataFrame, labels: DataFrame, max_training: int = M
     """doc_id, junk_probability (null without a body), true_words, count_wrong, and the FIGURES of every document with a text.
 
     ``count_wrong``: the stored word count is null or off by more than a tenth of the true one.
-    Labels may be missing, null, repeated or contradictory; with no usable ones the hand-checked examples train the trees.
+    Labels may be missing, null, repeated or contradictory; with no usable ones the hand-checked examples alone train the trees.
     """
     pages = written(page_statistics(documents))
     votes = labels.where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality")).where("quality in (0, 1)")

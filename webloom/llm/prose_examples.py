@@ -1,4 +1,4 @@
-"""Hand-checked examples for the calibration of prose.py: (text, whether it is prose)."""
+"""Hand-checked examples for prose.py: (text, whether it is prose). TRAINING is always learnt from, EXAMPLES only calibrate."""
 
 from __future__ import annotations
 
@@ -29,3 +29,28 @@ EXAMPLES: list[tuple[str, bool]] = [
     ("brimo tal@ vesk ne% ro loti?! gar mave dorn% ta len fo pell?! zu marva ke@ tal brin?! osta le% vro min kalo fe sande ri?! to mel@ bo", False),
     ("» Brass hinge Calder\nHow to bend a wire (Norwick)\n- Solid oak shelf\nMallory: copper pan\n» How to sharpen a saw (Tilden)\nOld clock Farrow\n- How to glaze a tile (Benning)", False),
 ]
+
+TRAINING: list[tuple[str, bool]] = [
+    ("My neighbour keeps three hives behind the shed. In a good year they give her more honey than she can sell. She leaves the jars on the wall, and people put the money in a tin.", True),
+    ("It was the third winter in the new house, and we still had no proper stove. The chimney drew badly whenever the wind came from the east. In the end we moved the bed into the kitchen.", True),
+    ("the bus stops at the old mill and then goes back. if you want to see the falls you have to walk from there. it is not far, but the path is steep and it has no railing.", True),
+    ("Repairing a chair\n\nTake the seat off first and mark which side was at the front.\nThe glue should be warm, and you need two clamps for each leg.\n- two clamps\n- warm glue\nLeave it overnight, even if it feels dry after an hour.", True),
+    ("Il faut attendre que la pâte soit froide avant de la couper. Je la laisse toujours une nuit à la cave. Les enfants préfèrent la croûte, mais le milieu est bien meilleur.", True),
+    ("Der alte Ofen hat uns noch zwei Jahre gedient. Dann war die Platte gesprungen, und niemand wollte sie mehr schweißen. Jetzt steht er im Garten und hält das Holz trocken.", True),
+    ("La abuela guardaba las cartas en una caja de galletas. Nunca nos dejó leerlas, aunque sabíamos de quién eran. Cuando murió, la caja ya estaba vacía.", True),
+    ("A copper kettle is what every copper kettle lover wants. With our copper kettle you get a better copper kettle than any other copper kettle. Ask for the copper kettle today.", True),
+    ("Mallow: Grows by the road and was eaten in hard years. The seeds taste of nuts.\nNettle: It stings, but the young leaves make a good soup. People also made cloth of it.\nOrache: Sown in gardens before spinach was known.", True),
+    ("Day | High | Low | Rain\n1 | 12.4 | 3.0 | 0\n2 | 11.9 | 2.8 | 4\n3 | 9.5 | 1.1 | 12\n4 | 10.0 | - | n/a\n5 | 13.2 | 4.4 | 0", False),
+    ("* candle\n* 2 matches\n- rope (3 m)\n- tin cup\n[ ] blanket\n- lamp oil\n* 6 nails\n[ ] hammer\n- string", False),
+    ("Apples, 14, 90\nBarley, 7, 33, 121\nCheese, 2, 48\nDill, 66\nEels, 5, 17, 80, 143\nFlour, 9, 29", False),
+    ("Surname *\nTown: ______\nPost code [required]\nSize: ( ) small ( ) large\nSignature: ______\nMail *\nDate [required]", False),
+    ("2019-04-02 03:12:44 INFO job_17 started\n2019-04-02 03:12:45 WARN retry=3 code=504\n2019-04-02 03:12:51 ERR job_17 rc=1\n0x00a1f0 9c 00 11 fe\n--- 3 of 8 done", False),
+    ("QmFzZSBzaXh0eSBmb3VyIGlzIG5vdCBwcm9zZQ0K\nVGhlIHNlY29uZCBsaW5lIG9mIGl0IGlzIG5vIGJldHRlcg==\nx8Zk2PqL0vYtGh5WmJ3nRb7CsDf1EaU9oTi4QeKl6BjXzHwN\nMd0rVc8sAq2gJy7u", False),
+    ("~~ :: || -- ~~ :: == ++\n|| ~~ == -- :: ++ ||\n:: == ~~ || ++ -- == ::\n-- ++ :: ~~ == || --", False),
+    ("WÃ©Ã© hÃ©d nÃ©vÃ©r sÃ©Ã©n thÃ© sÃ©Ã© bÃ©fÃ©rÃ©, Ã©nd Ã©t wÃ©s cÃ©ld Ã©nd grÃ©y lÃ©kÃ© thÃ© rÃ©Ã©d", False),
+    ("copper kettle cheap, buy copper kettle, copper kettle offer, best copper kettle, copper kettle shop, copper kettle price, copper kettle reviews, copper kettle", False),
+    ("#kettle #copperkettle #kettle_deal #cheapkettle #copper_kettle_shop #kettleonline #bestkettle", False),
+    ("https://kettles.example/copper/3\nwww.kettle-deals.example\n[copper kettle](http://shop.example/k?id=9)\nhttp://a.example/kettle_sale cheap kettle", False),
+    ("vrel@ mo kast ti% lo?! bren gar% to me?! sil vop ra% ne lun?! tak fo@ bri mel?! do pas% ko", False),
+    ("Old saddle Merrow\n- How to fold a map (Aldby)\n» Bright kettle\nHarne: oak bench\n- How to set a trap (Kelso)\n» Dull chisel Penn\nNorby: tin lamp", False),
+]
