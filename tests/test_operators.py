@@ -142,11 +142,31 @@ def test_search_forms_agree(spark, tmp_path):
     assert [r[0] for r in search.matching(docs, "oak").select("doc_id").orderBy("doc_id").collect()] == [i for i, x, _, f, *_ in rows if not f and "oak" in (x or "").split()]
 
 
-def test_cover_density():
-    assert search.cover_density("a b c".split(), ["a", "c"], False) == pytest.approx(2 / 3)
-    assert search.cover_density("a c x a".split(), ["a", "c"], False) == pytest.approx(1 + 2 / 3)
-    assert search.cover_density("a b".split(), ["a", "z"]) == 0 and search.cover_density([], ["a"]) == 0
-    assert search.cover_density("a b".split(), ["a"]) == 0.5
+def cover_density(words, units):
+    """Brute force: units are tuples of words; a stretch counts when its beginning moves."""
+    total, before = 0.0, -1
+    last = {}
+    for i in range(len(words)):
+        for u in units:
+            if i + 1 >= len(u) and tuple(words[i + 1 - len(u) : i + 1]) == u:
+                last[u] = i + 1 - len(u)
+                if len(last) == len(units) and min(last.values()) > before:
+                    before = min(last.values())
+                    total += len(units) / (i - before + 1)
+    return total
+
+
+def test_cover_density(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdx") * 2 for _ in range(rng.randrange(30)))) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for text, branches in (("aa bb", [[("aa",), ("bb",)]]), ("aa OR bb", [[("aa",)], [("bb",)]]), ('cc "aa bb"', [[("cc",), ("aa", "bb")]]), ("(aa OR bb) cc -dd", [[("aa",), ("cc",)], [("bb",), ("cc",)]])):
+        got = {r["doc_id"]: r["ranking"] for r in search.ranked(df, text).collect()}
+        want = {i: sum(cover_density(w, u) for u in branches) / max(len(w), 1) for i, t in rows for w in [(t or "").split()]}
+        assert got == pytest.approx(want)
+    one = spark.createDataFrame([(1, "kettle", "a kettle and boats")], "doc_id long, title string, text string")
+    by_label = search.ranked(one, "kettle", sections=[("A", "title"), ("D", "text")], normalisation=0).first()["ranking"]
+    assert by_label == pytest.approx(1.1) and search.ranked(one, "boat", stemmed=True, normalisation=search.TO_ONE).first()["ranking"] == 0.5
 
 
 def test_snippet():

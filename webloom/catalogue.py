@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import arrays, bitmask, links, scores
-from webloom.functions.analysis import STOP_WORDS, stem_table, weighted_vector
+from webloom.functions.analysis import _ENDINGS, STOP_WORDS, stem_table, weighted_vector
 from webloom.functions.fixed import ENGLISH_ONLY_SITES, FILE_SUFFIXES, FORBIDDEN_ON_SITE, FORBIDDEN_PATHS, FORBIDDEN_SITES, ROOT_SITES, TITLE_SEPARATORS
 from webloom.functions.text import strip_space, word_count
 from webloom.functions.uri import site, uri_host
 from webloom.operators import frontier, graph, layout, maintenance, postings, search, signals, titles
+from webloom.sources.imports import parsed_robots
 from webloom.sources.roots import with_roots
 from webloom.sources.tables import read_table as t
 from webloom.streaming.crawl import events_by_window, sessions
@@ -110,9 +111,54 @@ def search_popularity(spark: SparkSession, d: str) -> DataFrame:
     return search.with_popularity(_found(spark, d, "letter"), t(spark, d, "domains")).select("doc_id", "popularity")
 
 
-@query()
+def _covers(where: str, first: str, second: str) -> str:
+    """SQL of the cover density of two words; ``first`` and ``second`` are conditions on a word."""
+    return _WORDS + rf""", h AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, unnest(range(len(words))) AS i FROM w WHERE {where}),
+l AS (SELECT doc_id, i, max(CASE WHEN {first} THEN i END) OVER o AS a, max(CASE WHEN {second} THEN i END) OVER o AS b FROM h WHERE {first} OR {second} WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, least(a, b) AS s, lag(least(a, b)) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
+g AS (SELECT doc_id, sum(2.0::DOUBLE / (i - s + 1)) AS density FROM c WHERE p IS NULL OR s > p GROUP BY doc_id),
+z AS (SELECT doc_id, max(n) AS n, count(*) FILTER (WHERE word = 'kettle') AS kettles FROM h GROUP BY doc_id) """
+
+
+_BOTH = "list_contains(words, 'village') AND list_contains(words, 'letter')"
+
+
+@query(_covers(_BOTH, "word = 'village'", "word = 'letter'") + "SELECT doc_id, round(density / n, 9) AS ranking FROM g JOIN z USING (doc_id)")
 def cover_density(spark: SparkSession, d: str) -> DataFrame:
-    return search.ranked(_found(spark, d, "village letter"), "village letter").select("doc_id", "ranking")
+    return search.ranked(_found(spark, d, "village letter"), "village letter").select("doc_id", F.round("ranking", 9).alias("ranking"))
+
+
+@query(_covers(f"list_contains(words, 'kettle') OR {_BOTH}", "word = 'village'", "word = 'letter'") + "SELECT doc_id, round((coalesce(density, 0) + kettles) / n, 9) AS ranking FROM z LEFT JOIN g USING (doc_id)")
+def search_or_ranked(spark: SparkSession, d: str) -> DataFrame:
+    text = "kettle OR (village letter)"
+    return search.ranked(_found(spark, d, text), text).select("doc_id", F.round("ranking", 9).alias("ranking"))
+
+
+_PLURAL = "CASE WHEN regexp_matches({0}, '(sses|ies)$') THEN {0}[:-3] WHEN regexp_matches({0}, '[^su]s$') THEN {0}[:-2] ELSE {0} END"
+_VERB = (
+    "CASE WHEN NOT regexp_matches({0}, '(ed|ing)$') OR length(regexp_replace({0}, '(ed|ing)$', '')) <= 2 OR NOT regexp_matches(regexp_replace({0}, '(ed|ing)$', ''), '[aeiouy]') OR regexp_matches({0}, '(eed|eing)$') THEN {0} "
+    "WHEN regexp_matches({0}, '(at|bl|iz)(ed|ing)$') THEN regexp_replace({0}, '(ed|ing)$', 'e') "
+    "WHEN right(regexp_replace({0}, '(ed|ing)$', ''), 1) = left(right(regexp_replace({0}, '(ed|ing)$', ''), 2), 1) AND NOT regexp_matches({0}, '[aeiouylsz](ed|ing)$') THEN regexp_replace({0}, '.(ed|ing)$', '') ELSE regexp_replace({0}, '(ed|ing)$', '') END"
+)
+_NOUN = "CASE WHEN length({0}) > 3 AND regexp_matches({0}, '[aeiouy].*y$') THEN {0}[:-2] || 'i' ELSE {0} END"
+_ENDED = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '^.{{{{3,}}}}{a}$') THEN regexp_replace({{0}}, '{a}$', '{b}')" for a, b in _ENDINGS) + " ELSE {0} END"
+
+
+def _stem_sql(words: str) -> str:
+    """SQL of word, stem of a query with a column ``word``."""
+    steps = f"(SELECT word, word AS s FROM ({words}) WHERE length(word) > 3)"
+    for step in (_PLURAL, _VERB, _NOUN, _ENDED):
+        steps = f"(SELECT word, {step.format('s')} AS s FROM {steps})"
+    return f"SELECT word, s AS stem FROM {steps} UNION ALL SELECT word, word FROM ({words}) WHERE length(word) <= 3"
+
+
+_TITLE_WORDS = r"SELECT DISTINCT unnest(regexp_extract_all(lower(seg), '[\p{L}\p{N}]+')) AS word FROM title_segs"
+
+
+@query(_WORDS + f", v AS ({_stem_sql('SELECT DISTINCT unnest(words) AS word FROM w')}), x AS (SELECT DISTINCT doc_id, stem FROM (SELECT doc_id, unnest(words) AS word FROM w) JOIN v USING (word)) SELECT doc_id FROM x WHERE stem = 'villag' OR stem = 'village' OR stem = 'letter' GROUP BY doc_id HAVING count(DISTINCT stem) > 1")
+def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """Villages, letters and their like."""
+    return search.matching(t(spark, d, "documents"), "villages letters", stemmed=True).select("doc_id")
 
 
 @query()
@@ -141,7 +187,7 @@ def weighted_terms(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(_stem_sql(_TITLE_WORDS))
 def stems(spark: SparkSession, d: str) -> DataFrame:
     """The stem of every distinct word of the titles."""
     return stem_table(segment_words(spark, d))
@@ -354,6 +400,52 @@ def insert_missing(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.insert_missing(rows.where("id % 2 = 0"), odd, ["uri"])
 
 
+@query("SELECT min(depth) AS depth, uri FROM discovery WHERE uri IS NOT NULL AND id % 2 = 1 AND uri NOT IN (SELECT uri FROM discovery WHERE uri IS NOT NULL AND id % 2 = 0) GROUP BY uri")
+def insert_discoveries(spark: SparkSession, d: str) -> DataFrame:
+    """Of the odd half's addresses as links, those the even half doesn't know."""
+    rows = t(spark, d, "discovery")
+    return maintenance.new_discoveries(rows.where("id % 2 = 0"), rows.where("id % 2 = 1").select("uri", "depth", "distance")).select("depth", "uri")
+
+
+@query("SELECT id, dead OR id % 10 = 5 AS dead, CASE WHEN id % 10 = 0 THEN id ELSE canonical END AS canonical FROM discovery")
+def mark_discovered(spark: SparkSession, d: str) -> DataFrame:
+    """After a crawl step that resolved every tenth address and found every other fifth one dead."""
+    rows = t(spark, d, "discovery")
+    resolved = rows.where("id % 5 = 0").select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("canonical"))
+    return maintenance.mark_discovered(rows, resolved).select("id", "dead", "canonical")
+
+
+_LISTED = f"l AS (SELECT {_SITE} AS site, CAST(min(doc_id) AS INTEGER) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY 1 HAVING site IS NOT NULL)"
+
+
+@query(f"WITH {_LISTED}, k AS (SELECT {_SITE} AS site, domain, rank FROM domains) SELECT domain, coalesce(n, rank) AS rank FROM k LEFT JOIN l USING (site) UNION ALL SELECT site, n FROM l WHERE site NOT IN (SELECT site FROM k WHERE site IS NOT NULL)")
+def imported_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """domains after a popularity list, here the sites of every third document by their first one."""
+    listed = t(spark, d, "documents").where("doc_id % 3 = 0").select("domain", F.col("doc_id").cast("int").alias("rank"))
+    return maintenance.imported_ranks(t(spark, d, "domains"), listed).select("domain", "rank")
+
+
+@query(f"WITH {_LISTED}, k AS (SELECT id, {_SITE} AS site, rank FROM domains) SELECT id, coalesce(rank, n) AS rank FROM k LEFT JOIN l USING (site)")
+def backfilled_ranks(spark: SparkSession, d: str) -> DataFrame:
+    answers = t(spark, d, "documents").where("doc_id % 3 = 0").select("domain", F.col("doc_id").cast("int").alias("rank"))
+    return maintenance.backfilled_ranks(t(spark, d, "domains"), answers).select("id", "rank")
+
+
+@query("SELECT id, CASE WHEN rules IS NULL OR coalesce(len(rules.allow), 0) + coalesce(len(rules.disallow), 0) = 0 THEN '/open|/' || lower(domain) ELSE array_to_string(coalesce(rules.allow, []), ',') || '|' || array_to_string(coalesce(rules.disallow, []), ',') END AS rules FROM domains".replace("'/open|/' || lower(domain)", f"coalesce('/open|/' || {_SITE}, '|')"))
+def backfilled_rules(spark: SparkSession, d: str) -> DataFrame:
+    """domains whose missing rules come from robots files, here one for each site."""
+    files = t(spark, d, "domains").select("domain", F.concat(F.lit("User-agent: *\nAllow: /open\nDisallow: /"), site(F.col("domain"))).alias("robots_txt")).where("robots_txt is not null")
+    out = maintenance.backfilled_rules(t(spark, d, "domains"), parsed_robots(files, "webloom"))
+    joined = [F.array_join(F.coalesce(F.col(f"rules.{c}"), F.array().cast("array<string>")), ",") for c in ("allow", "disallow")]
+    return out.select("id", F.concat(joined[0], F.lit("|"), joined[1]).alias("rules"))
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SEGS} AS segs FROM documents WHERE title IS NOT NULL), w AS (SELECT DISTINCT doc_id AS doc, unnest(segs) AS text FROM s) SELECT doc, text FROM w EXCEPT SELECT e.doc, g.seg FROM title_edges e JOIN title_segs g ON g.id = e.seg")
+def insert_title_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The title edges that indexing all documents anew would add."""
+    return titles.new_title_edges(t(spark, d, "documents"), t(spark, d, "title_segs"), t(spark, d, "title_edges"))[1].select("doc", "text")
+
+
 # --- distance vectors and the graph --------------------------------------------
 
 

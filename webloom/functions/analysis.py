@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,14 +57,36 @@ def stem(word: str) -> str:
     return word
 
 
-def stem_table(words: DataFrame, column: str = "word") -> DataFrame:
-    """word, stem of every distinct word: the vocabulary is stemmed, not every occurrence."""
+def _plural(word: Column) -> Column:
+    return F.when(word.rlike("(?:sses|ies)$"), F.regexp_replace(word, "es$", "")).when(word.rlike("[^su]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
+
+
+def _verb(word: Column) -> Column:
+    rest = F.regexp_replace(word, "(?:ed|ing)$", "")
+    cut = (rest != word) & (F.length(rest) > 2) & rest.rlike("[aeiouy]") & ~rest.endswith("e")
+    return F.when(~cut, word).when(rest.rlike("(?:at|bl|iz)$"), F.concat(rest, F.lit("e"))).when(rest.rlike("([^aeiouylsz])\\1$"), F.regexp_replace(rest, ".$", "")).otherwise(rest)
+
+
+def _noun(word: Column) -> Column:
+    return F.when(word.rlike("[aeiouy].*y$") & (F.length(word) > 3), F.regexp_replace(word, "y$", "i")).otherwise(word)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "stem": batch["word"].map(stem)})
 
-    return words.select(F.col(column).alias("word")).where("word is not null").distinct().mapInPandas(run, "word string, stem string")
+def _ended(word: Column) -> Column:
+    return F.coalesce(*[F.when(word.rlike(f"^.{{3,}}{ending}$"), F.regexp_replace(word, f"{ending}$", to)) for ending, to in _ENDINGS], word)
+
+
+def stem_column(word: Column) -> Column:
+    """The same stems as an expression, so that words are stemmed within the JVM."""
+    stems = F.array(word)
+    # each step names the last one's result, which would be spelled out again at each mention otherwise
+    for step in (_plural, _verb, _noun, _ended):
+        stems = F.transform(stems, step)
+    return F.when(F.length(word) <= 3, word).otherwise(F.get(stems, F.lit(0)))
+
+
+def stem_table(words: DataFrame, column: str = "word") -> DataFrame:
+    """word, stem of every distinct word: the vocabulary is stemmed, not every occurrence."""
+    return words.select(F.col(column).alias("word")).where("word is not null").distinct().select("word", stem_column(F.col("word")).alias("stem"))
 
 
 def _labelled(words: Column, offset: Column, label: str) -> Column:

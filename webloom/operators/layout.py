@@ -113,7 +113,8 @@ def placed(boxed: DataFrame, width: int = 1920) -> DataFrame:
             out[c] = [where[i][k] for i in sorted(where)]
         return out[out["title"].str.strip() != ""]
 
-    page = boxed.limit(SPATIAL_ROWS).withColumn("page", F.lit("one"))
+    # a map is one page; of more, the largest boxes are placed
+    page = boxed.orderBy(F.desc("pt"), "doc_id").limit(SPATIAL_ROWS).withColumn("page", F.lit("one"))
     return page.groupBy("page").applyInPandas(run, "doc_id long, title string, pt double, left int, top int, box_w int, box_h int")
 
 

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from webloom.functions.bitmask import DocumentFlag, flag_if, union
 from webloom.functions.links import quickly_acceptable, robots_allowed
+from webloom.functions.uri import site
 
 
-def with_new_ids(rows: DataFrame, existing: DataFrame, identity: str, order: list[str], parts: int = 64) -> DataFrame:
+def with_new_ids(rows: DataFrame, existing: DataFrame, identity: str, order: list[str], part_rows: int = 200_000) -> DataFrame:
     """rows with ``identity`` continuing after the largest existing one, dense, in no order but within parts.
 
-    Numbers come from counts per part of the keys' hash, so no window holds all rows.
+    Numbers come from counts per part of the keys' hash, so no window holds all rows; the parts grow in number, not in size.
     """
+    parts = max(1, -(-rows.count() // part_rows))
     part = F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")
     rows = rows.withColumn("_part", part)
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))  # ``parts`` rows at most
+    offsets = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))  # a row for each part_rows rows
     top = existing.agg(F.coalesce(F.max(identity), F.lit(0)).cast("long").alias("_top"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     numbered = rows.withColumn("_place", place).join(F.broadcast(offsets), "_part").crossJoin(F.broadcast(top))
@@ -98,7 +100,42 @@ def missing_rules(domains: DataFrame) -> DataFrame:
 
 def robots_flags(documents: DataFrame, domains: DataFrame, site_of_document: Column, site_of_domain: Column, path_of: Column) -> DataFrame:
     """doc_id, allowed: by the rules of the document's site; a site without rules allows everything."""
-    rules = domains.where("rules is not null").select(site_of_domain.alias("site"), "rules").groupBy("site").agg(F.max_by("rules", "site").alias("rules"))
+    # a site stored twice: the rules of its first row, or without identifiers the first ones in their spelling
+    order = F.col("id") if "id" in domains.columns else F.to_json("rules")
+    rules = domains.where("rules is not null").select(site_of_domain.alias("site"), "rules", order.alias("_order")).groupBy("site").agg(F.min_by("rules", "_order").alias("rules"))
     docs = documents.select("doc_id", site_of_document.alias("site"), path_of.alias("path"))
     allowed = robots_allowed(F.col("path"), F.col("rules.allow"), F.col("rules.disallow"))
     return docs.join(rules, "site", "left").select("doc_id", F.coalesce(allowed, F.lit(True)).alias("allowed"))
+
+
+def new_discoveries(discovery: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows to add for links (uri, depth, distance) whose address isn't discovered yet: an address once, at its smallest depth, with a new id."""
+    fresh = links.where("uri is not null").groupBy("uri").agg(F.min("depth").alias("depth"), F.min_by("distance", "depth").alias("distance"))
+    fresh = fresh.join(discovery.select("uri"), "uri", "left_anti")
+    return with_new_ids(fresh, discovery, "id", ["uri"]).withColumn("dead", F.lit(False))
+
+
+def imported_ranks(domains: DataFrame, ranks: DataFrame) -> DataFrame:
+    """domains after the import of a popularity list (rank, domain): only the rank of known sites changes, unknown ones are added.
+
+    Sites are compared, not spellings; a site that a list has twice takes its best rank, and all its rows take it.
+    """
+    best = ranks.where("rank is not null").groupBy(site(F.col("domain")).alias("_site")).agg(F.min("rank").alias("_rank")).where("_site is not null")
+    known = domains.withColumn("_site", site(F.col("domain")))
+    updated = known.join(best, "_site", "left").withColumn("rank", F.coalesce("_rank", "rank")).select(*domains.columns)
+    added = with_new_ids(best.join(known.select("_site"), "_site", "left_anti").select(F.col("_site").alias("domain"), F.col("_rank").alias("rank")), domains, "id", ["domain"])
+    return updated.unionByName(added, allowMissingColumns=True)
+
+
+def backfilled_ranks(domains: DataFrame, answers: DataFrame) -> DataFrame:
+    """domains whose missing ranks are taken from popularity answers (domain, rank); known ranks stay."""
+    found = answers.where("rank is not null").groupBy(site(F.col("domain")).alias("_site")).agg(F.min("rank").alias("_rank"))
+    return domains.withColumn("_site", site(F.col("domain"))).join(found, "_site", "left").withColumn("rank", F.coalesce("rank", "_rank")).select(*domains.columns)
+
+
+def backfilled_rules(domains: DataFrame, parsed: DataFrame) -> DataFrame:
+    """domains whose missing robots rules are taken from parsed files (domain, rules); known rules stay."""
+    found = parsed.where("rules is not null").groupBy(site(F.col("domain")).alias("_site")).agg(F.min_by("rules", F.to_json("rules")).alias("_rules"))
+    unknown = missing_rules(domains).select("id").distinct().withColumn("_unknown", F.lit(True))
+    met = domains.withColumn("_site", site(F.col("domain"))).join(found, "_site", "left").join(unknown, "id", "left")
+    return met.withColumn("rules", F.when(F.col("_unknown"), F.coalesce("_rules", "rules")).otherwise(F.col("rules"))).select(*domains.columns)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.analysis import STOP_WORDS
+from webloom.functions.analysis import STOP_WORDS, WEIGHTS, stem, stem_column
 from webloom.functions.text import tokens
 from webloom.functions.uri import site
 from webloom.plans.language import And, Not, Or, Phrase, Query, Site, Size, Term, parse
@@ -26,23 +26,33 @@ def _words(query: Term | Phrase) -> list[str]:
     return [query.word.lower()] if isinstance(query, Term) else [w.lower() for w in query.words]
 
 
-def condition(query: Query, line: str = "_line") -> Column:
+def _stem_in(line: Column, word: str) -> Column:
+    """Whether a line has a word with the stem of ``word``; only words with the stem's beginning are stemmed."""
+    wanted = stem(word)
+    near = F.regexp_extract_all(line, F.lit(rf"(?<= )(\Q{wanted[:-1]}\E[^ ]*)"), F.lit(1))
+    return F.exists(near, lambda w: stem_column(w) == wanted)
+
+
+def condition(query: Query, line: str = "_line", stemmed: bool = False) -> Column:
     """The query over a row with ``_line`` (its words in order, a blank before and after each), uri, js and css.
 
     A query of stop words alone, and the empty phrase, match nothing; in a negation they match everything.
+    ``stemmed``: single words match all words of their stem; phrases hold their very words.
     """
     match query:
         case Term() | Phrase():
             wanted = _words(query)
             if not wanted or all(w in STOP_WORDS for w in wanted):
                 return F.lit(False)
+            if stemmed and len(wanted) == 1:
+                return _stem_in(F.col(line), wanted[0])
             return F.col(line).contains(" " + " ".join(wanted) + " ")
         case Not(inner):
-            return ~condition(inner, line)
+            return ~condition(inner, line, stemmed)
         case And(left, right):
-            return condition(left, line) & condition(right, line)
+            return condition(left, line, stemmed) & condition(right, line, stemmed)
         case Or(left, right):
-            return condition(left, line) | condition(right, line)
+            return condition(left, line, stemmed) | condition(right, line, stemmed)
         case Site(text):
             return F.coalesce(F.col("uri").contains(text), F.lit(False))
         case Size(prop, op, number):
@@ -57,11 +67,11 @@ def with_line(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.withColumn("_line", F.concat(F.lit(" "), words, F.lit(" ")))
 
 
-def matching(documents: DataFrame, query: Query | str, text: str = "text") -> DataFrame:
+def matching(documents: DataFrame, query: Query | str, text: str = "text", stemmed: bool = False) -> DataFrame:
     """The clean documents (flags = 0) that a query is true of, all columns."""
     q = parse(query) if isinstance(query, str) else query
     # the cheap filter stands before the words are made
-    return with_line(documents.where("flags = 0"), text).where(condition(q)).drop("_line")
+    return with_line(documents.where("flags = 0"), text).where(condition(q, stemmed=stemmed)).drop("_line")
 
 
 def matching_by_sets(documents: DataFrame, query: Query | str, text: str = "text") -> DataFrame:
@@ -99,37 +109,82 @@ def query_words(query: Query) -> list[list[str]]:
     return []
 
 
-def cover_density(words: list[str], wanted: list[str], by_length: bool = True) -> float:
-    """Clarke, Cormack and Tudhope: each shortest stretch of words that holds all the wanted ones adds (wanted - 1 + 1) / its length.
+#: Ways to normalise a rank, added up: by 1 + log of the length, by the length, by the distinct words, by 1 + their log, to rank / (rank + 1).
+BY_LOG_LENGTH, BY_LENGTH, BY_WORDS, BY_LOG_WORDS, TO_ONE = 1, 2, 8, 16, 32
 
-    Divided by the document's length if asked; 0 if a wanted word is missing.
-    """
-    need = {w for w in wanted}
-    if not need or not words:
-        return 0.0
-    last: dict[str, int] = {}
-    total, before = 0.0, -1
-    for i, w in enumerate(words):
-        if w in need:
-            last[w] = i
-            if len(last) == len(need):
-                start = min(last.values())
-                if start > before:
-                    total += len(need) / (i - start + 1)
-                    before = start
-    return total / len(words) if by_length else total
-
-
-def ranked(found: DataFrame, query: Query | str, text: str = "text") -> DataFrame:
-    """found with ranking; the text is ranked only for documents that were found."""
-    q = parse(query) if isinstance(query, str) else query
-    wanted = sorted({w for phrase in query_words(q) for w in phrase})
 
-    @F.pandas_udf("double")
-    def rank(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: cover_density(list(w), wanted))
+def _units(query: Query) -> list[tuple[str, ...]]:
+    """The words and phrases of a conjunction, each once; those negated and those of stop words alone say nothing."""
+    match query:
+        case Term() | Phrase():
+            wanted = tuple(_words(query))
+            return [wanted] if wanted and not all(w in STOP_WORDS for w in wanted) else []
+        case And(left, right):
+            return list(dict.fromkeys(_units(left) + _units(right)))
+    return []
+
+
+def _branches(query: Query) -> list[list[tuple[str, ...]]]:
+    """A query as a sum of conjunctions: OR is distributed over AND."""
+    match query:
+        case Or(left, right):
+            return _branches(left) + _branches(right)
+        case And(left, right):
+            return [list(dict.fromkeys(a + b)) for a in _branches(left) for b in _branches(right)]
+    return [_units(query)]
 
-    return found.withColumn("ranking", rank(tokens(F.coalesce(text, F.lit(""))))) if wanted else found.withColumn("ranking", F.lit(0.0))
+
+def _occurrences(words: Column, units: list[tuple[str, ...]], stemmed: bool) -> Column:
+    """array of (last, first, unit), in order, of where a document has the units; positions count from 0."""
+
+    def at(w: Column, i: Column) -> Column:
+        found = []
+        for k, unit in enumerate(units):
+            if len(unit) > 1:
+                here = (w == unit[0]) & (F.slice(words, i + 1, F.lit(len(unit))) == F.array(*map(F.lit, unit)))
+            else:
+                here = w.startswith(stem(unit[0])[:-1]) & (stem_column(w) == stem(unit[0])) if stemmed else w == unit[0]
+            found.append(F.when(here, F.struct((i + len(unit) - 1).cast("int").alias("last"), i.cast("int").alias("first"), F.lit(k).alias("unit"))))
+        return F.array_compact(F.array(*found))
+
+    return F.array_sort(F.flatten(F.transform(words, at)))
+
+
+def _cover_density(words: Column, weights: Column | None, units: list[tuple[str, ...]], stemmed: bool) -> Column:
+    """Clarke, Cormack and Tudhope: each shortest stretch of words that holds all units adds their weights (1 each) over its length."""
+    start = F.struct(F.array_repeat(F.lit(-1), len(units)).alias("at"), F.lit(-1).alias("before"), F.lit(0.0).alias("total"))
+
+    def step(acc: Column, e: Column) -> Column:
+        at = F.transform(acc["at"], lambda x, j: F.when(j == e["unit"], e["first"]).otherwise(x))
+        first = F.array_min(at)
+        new = (first >= 0) & (first > acc["before"])
+        gain = F.lit(float(len(units))) if weights is None else F.aggregate(at, F.lit(0.0), lambda s, i: s + F.get(weights, i))
+        return F.struct(at.alias("at"), F.when(new, first).otherwise(acc["before"]).alias("before"), (acc["total"] + F.when(new, gain / (e["last"] - first + 1)).otherwise(0.0)).alias("total"))
+
+    return F.aggregate(_occurrences(words, units, stemmed), start, step, lambda acc: acc["total"])
+
+
+def ranked(found: DataFrame, query: Query | str, text: str = "text", sections: list[tuple[str, str]] | None = None, normalisation: int = BY_LENGTH, stemmed: bool = False) -> DataFrame:
+    """found with ranking: cover density by the query's tree, the sum over the branches of OR; only documents that were found are ranked.
+
+    ``sections``: (label, column) pairs take the place of ``text``, and words weigh as their label. A document without
+    words, and a query without a word that says anything, rank 0.
+    """
+    q = parse(query) if isinstance(query, str) else query
+    parts = [tokens(F.coalesce(c, F.lit(""))) for _, c in sections or [("A", text)]]
+    weights = F.concat(*[F.array_repeat(F.lit(WEIGHTS[label]), F.size(p)) for (label, _), p in zip(sections, parts, strict=True)]) if sections else F.lit(None)
+    rows = found.withColumn("_words", F.concat(*parts)).withColumn("_weights", weights)
+    branches = [b for b in _branches(q) if b]
+    total = F.lit(0.0)
+    for units in branches:
+        total = total + _cover_density(F.col("_words"), F.col("_weights") if sections else None, units, stemmed)
+    length, distinct = F.size("_words"), F.size(F.array_distinct("_words"))
+    for bit, by in ((BY_LOG_LENGTH, 1 + F.log1p(length)), (BY_LENGTH, length), (BY_WORDS, distinct), (BY_LOG_WORDS, 1 + F.log1p(distinct))):
+        if normalisation & bit:
+            total = F.coalesce(F.try_divide(total, by), F.lit(0.0))
+    if normalisation & TO_ONE:
+        total = total / (total + 1)
+    return rows.withColumn("ranking", total).drop("_words", "_weights")
 
 
 def page(results: DataFrame, number: int = 1, size: int = PAGE_SIZE, ascending: bool = True) -> DataFrame:

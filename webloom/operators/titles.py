@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.fixed import TITLE_SEPARATORS
+from webloom.operators.maintenance import get_or_insert, with_new_ids
 
 
 def title_segments(title: Column) -> Column:
@@ -26,6 +27,16 @@ def segments_of(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(title_segments(F.col("title"))).alias("position", "seg"))
 
 
+def new_title_edges(documents: DataFrame, title_segs: DataFrame, title_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What indexing documents adds: (id, seg) of unknown segments, and (id, doc, seg, text) of edges that aren't stored under any id of their segment."""
+    wanted = segments_of(documents.where("title is not null")).select(F.col("doc_id").alias("doc"), F.col("seg").alias("text")).distinct()
+    ids = get_or_insert(title_segs, wanted.withColumnRenamed("text", "seg"), "id", "seg").select(F.col("id").alias("seg"), F.col("seg").alias("text"))
+    stored = title_edges.where("doc is not null and seg is not null").select("doc", F.col("seg").alias("id")).join(title_segs.select("id", F.col("seg").alias("text")), "id").select("doc", "text")
+    edges = wanted.join(stored, ["doc", "text"], "left_anti").join(ids, "text")
+    added = ids.select(F.col("text").alias("seg"), F.col("seg").alias("id")).join(title_segs.select("seg"), "seg", "left_anti").select("id", "seg")
+    return added, with_new_ids(edges, title_edges, "id", ["doc", "seg"]).select("id", "doc", "seg", "text")
+
+
 def segment_counts(title_edges: DataFrame) -> DataFrame:
     """seg, n: how many pages carry a segment; repeated edges count once."""
     return title_edges.where("doc is not null and seg is not null").select("doc", "seg").distinct().groupBy("seg").agg(F.count("*").alias("n"))

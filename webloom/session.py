@@ -25,9 +25,11 @@ def get_spark(cpus: int | str = "*", app: str = "webloom", driver_memory: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder in ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """Checkpoints go to the shared folder in ``spark.checkpoint.dir``; a folder of our own only where none is set and all tasks run on this machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="webloom-checkpoint-"))
