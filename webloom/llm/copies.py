@@ -80,5 +80,7 @@ def formatting_copies(records: DataFrame, identity: str, fields: list[str]) -> D
     """
     plain = [letters_and_digits(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]
     rows = records.select(F.col(identity).alias("_id"), F.sort_array(F.array(*plain)).alias("_plain"))
-    rows = rows.withColumn("_cheap", cheap_invariant(F.array_join("_plain", "")))
-    return refine(rows, ["_cheap", "_plain"]).groupBy("_plain").agg(F.min("_id").alias("first_id"), F.count("*").alias("copies")).select("first_id", "copies")
+    # a digest of the fields goes along instead of the texts, which would be exchanged with every step
+    digest = F.sha2(F.array_join(F.transform("_plain", lambda x: F.concat(x, F.lit("\n"))), ""), 256)
+    rows = rows.select("_id", cheap_invariant(F.array_join("_plain", "")).alias("_cheap"), digest.alias("_digest"))
+    return refine(rows, ["_cheap", "_digest"]).groupBy("_digest").agg(F.min("_id").alias("first_id"), F.count("*").alias("copies")).select("first_id", "copies")

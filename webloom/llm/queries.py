@@ -72,7 +72,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
-    return copies.address_copies(t(spark, d, "discovery"), "id").groupBy("first_id").agg(F.max("copies").alias("copies"))
+    tables = [copies.address_copies(t(spark, d, name), identity).withColumn("tbl", F.lit(name)) for name, identity in (("discovery", "id"), ("documents", "doc_id"))]
+    return tables[0].unionByName(tables[1]).groupBy("tbl", "first_id").agg(F.max("copies").alias("copies"))
 
 
 def p7_records(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +89,25 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_rates(packing.pack(t(spark, d, "documents")))
 
 
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document: whether its pieces are all its tokens, one after the other, each in a container that isn't overfull."""
+    packed = packing.pack(t(spark, d, "documents"))
+    room = packed.groupBy("container").agg((F.sum("size") <= F.max("tier")).alias("fits"), (F.min("tier") == F.max("tier")).alias("one_tier"))
+    pieces = packed.join(room, "container").groupBy("doc_id")
+    return pieces.agg(
+        (F.sum("size") == F.max(F.col("first_token") + F.col("size"))).alias("whole"), (F.max("piece") + 1 == F.countDistinct("piece")).alias("in_order"), F.bool_and(F.col("fits") & F.col("one_tier")).alias("fits")
+    )
+
+
+def p7_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that agree in title and text but for formatting."""
+    return copies.formatting_copies(t(spark, d, "documents"), "doc_id", ["title", "doc_text"])
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return prose.prose_quality(t(spark, d, "documents"), t(spark, d, "labels")).select("doc_id", "true_words", "count_wrong")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(t(spark, d, "documents"), t(spark, d, "benchmark")).where("template_words > 0 and exact_words > 0").select("doc_id", "item_id")
 
@@ -118,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "p3_sampled": p3_sampled,
     "p4_found": p4_found,
     "p4_statistics": p4_statistics,
+    "p4_counts": p4_counts,
     "p5_found": p5_found,
     "p5_bodies": p5_bodies,
     "p6_found": p6_found,
@@ -125,8 +146,10 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found,
     "p7_counts": p7_counts,
     "p7_records": p7_records,
+    "p7_fields": p7_fields,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_whole": p8_whole,
     "p9_found": p9_found,
     "p9_items": p9_items,
     "p10_found": p10_found,
@@ -191,7 +214,14 @@ i AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELE
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 x AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) > 11))
 SELECT DISTINCT doc_id, item_id FROM x JOIN i USING (g)""",
+    "p8_whole": "SELECT doc_id, true AS whole, true AS in_order, true AS fits FROM documents WHERE doc_id IS NOT NULL AND text <> ''",
+    "p7_fields": r"""
+WITH p AS (SELECT doc_id, list_sort([regexp_replace(lower(coalesce(title, '')), '[^\p{L}\p{N}]+', '', 'g'), regexp_replace(lower(coalesce(doc_text, '')), '[^\p{L}\p{N}]+', '', 'g')]) AS k FROM documents)
+SELECT min(doc_id) AS first_id, count(*) AS copies FROM p GROUP BY k HAVING count(*) > 1""",
+    "p4_counts": r"""
+WITH c AS (SELECT doc_id, word_count, len(list_filter(regexp_split_to_array(doc_text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')) AS true_words FROM documents WHERE doc_text IS NOT NULL)
+SELECT doc_id, true_words, word_count IS NULL OR abs(word_count - true_words) * 10 > true_words AS count_wrong FROM c""",
     "p7_records": "WITH r AS (SELECT 'discovery' AS tbl, id, uri FROM discovery UNION ALL SELECT 'documents', doc_id, uri FROM documents)," + _ADDRESS
     + "SELECT tbl, min(id) AS first_id, count(*) AS copies FROM y GROUP BY tbl, path, parameters",
-    "p7_counts": "WITH r AS (SELECT 'discovery' AS tbl, id, uri FROM discovery)," + _ADDRESS + "SELECT first_id, copies FROM g",
+    "p7_counts": "WITH r AS (SELECT 'discovery' AS tbl, id, uri FROM discovery UNION ALL SELECT 'documents', doc_id, uri FROM documents)," + _ADDRESS + "SELECT tbl, first_id, copies FROM g",
 }
