@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.text import collapse_space
 
-SALTS = 32
+SALTS, JOIN_SALTS = 32, 8
 
 
 def normal_term(text: Column) -> Column:
@@ -31,7 +31,6 @@ def last_seen_counts(tokens: DataFrame, term: str = "term", record: str = "recor
     rows = tokens.select(
         F.col(term).alias("term"), F.col(record).alias("record"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("n")
     ).where("term is not null and record is not null")
-    # map-side: what repeats within a partition shrinks before the exchange
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)).cast("int"))
     # one term's part, ordered by record: the window is the pass with the last-seen counter
     seen = F.lag("record").over(Window.partitionBy("term", "salt").orderBy("record"))
@@ -60,7 +59,9 @@ def segment_tokens(title_edges: DataFrame, title_segs: DataFrame) -> DataFrame:
     """term, record of the title edges whose document isn't null and whose segment has a row."""
     edges = title_edges.select(F.col("doc").alias("record"), F.col("seg").alias("seg_id")).where("record is not null and seg_id is not null")
     segs = title_segs.select(F.col("id").alias("seg_id"), normal_term(F.col("seg")).alias("term")).where("term is not null").distinct()
-    return edges.join(segs, "seg_id").select("term", "record")
+    # a segment that a third of the pages have is joined in parts
+    segs = segs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(JOIN_SALTS)).cast("int")).join(segs, ["seg_id", "salt"]).select("term", "record")
 
 
 def term_frequencies(title_edges: DataFrame, title_segs: DataFrame) -> DataFrame:
