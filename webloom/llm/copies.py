@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from webloom.functions.text import letters_and_digits
 from webloom.functions.uri import address_parameter_key, address_path_key, percent_decode
+from webloom.plans.written import written
 
 #: Letters whose counts make the histogram of the first, cheap key.
 HISTOGRAM = "aeinorst0123456789"
+#: Parts of a hot class that are joined apart.
+SALTS = 8
 
 
 def cheap_invariant(plain: Column) -> Column:
@@ -41,14 +44,23 @@ def refine(records: DataFrame, keys: list[str]) -> DataFrame:
 def _by_invariant(records: DataFrame, identity: str, uri: str) -> tuple[DataFrame, DataFrame]:
     """The records with an address as _id, _uri, _cheap, and the classes of _cheap: _first, _members."""
     rows = records.where(F.col(uri).isNotNull()).select(F.col(identity).alias("_id"), percent_decode(F.col(uri)).alias("_uri"))
-    rows = rows.withColumn("_cheap", cheap_invariant(letters_and_digits(F.col("_uri"))))
+    # read for the classes and for their members: the addresses are decoded and counted out once
+    rows = written(rows.select("_id", "_uri", cheap_invariant(letters_and_digits(F.col("_uri"))).alias("_cheap")))
     return rows, rows.groupBy("_cheap").agg(F.min("_id").alias("_first"), F.count("*").alias("_members"))
 
 
+def _salted(classes: DataFrame) -> DataFrame:
+    return classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _with_salt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+
+
 def _open_rows(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """_id and the costlier keys, of members of classes with several members only."""
-    several = sizes.where("_members > 1").select("_cheap")
-    return rows.join(several, "_cheap", "left_semi").select("_id", address_path_key(F.col("_uri")).alias("_path"), address_parameter_key(F.col("_uri")).alias("_parameters"))
+    several = _salted(sizes.where("_members > 1").select("_cheap"))
+    return _with_salt(rows).join(several, ["_cheap", "_salt"], "left_semi").select("_id", address_path_key(F.col("_uri")).alias("_path"), address_parameter_key(F.col("_uri")).alias("_parameters"))
 
 
 def address_copies(records: DataFrame, identity: str, uri: str = "uri") -> DataFrame:
@@ -59,7 +71,7 @@ def address_copies(records: DataFrame, identity: str, uri: str = "uri") -> DataF
     """
     open_rows = _open_rows(*_by_invariant(records, identity, uri))
     classes = open_rows.groupBy("_path", "_parameters").agg(F.min("_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
-    return open_rows.join(classes, ["_path", "_parameters"]).where("_id <> first_id").select("first_id", F.col("_id").alias("copy_id"), "copies")
+    return _with_salt(open_rows).join(_salted(classes), ["_path", "_parameters", "_salt"]).where("_id <> first_id").select("first_id", F.col("_id").alias("copy_id"), "copies")
 
 
 def address_records(records: DataFrame, identity: str, uri: str = "uri") -> DataFrame:
