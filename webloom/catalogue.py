@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from webloom.functions import arrays, bitmask, links, scores
 from webloom.functions.analysis import _ENDINGS, STOP_WORDS, stem_table, weighted_vector
 from webloom.functions.fixed import ENGLISH_ONLY_SITES, FILE_SUFFIXES, FORBIDDEN_ON_SITE, FORBIDDEN_PATHS, FORBIDDEN_SITES, ROOT_SITES, TITLE_SEPARATORS
+from webloom.functions.html import AD_SIGNS, COMMENTS, CONTENT, TYPE_FLAGS
 from webloom.functions.text import strip_space, word_count
 from webloom.functions.uri import site, uri_host
 from webloom.operators import frontier, graph, layout, maintenance, postings, search, signals, titles
@@ -653,7 +654,64 @@ def page_signals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+def _selected(css: str, inner: str) -> str:
+    """A page's element that a selector finds, as an SQL string expression."""
+    name, sign, value = css.partition("#" if "#" in css else ".")
+    attribute = "" if not sign else f' id="{value}"' if sign == "#" else f' class="x {value} y"'
+    return f"'<{name}{attribute}>' || {inner} || '</{name}>'"
+
+
+def _case(number: str, arms: list[str], otherwise: str) -> str:
+    return f"CASE {number} " + " ".join(f"WHEN {i} THEN {a}" for i, a in enumerate(arms)) + f" ELSE {otherwise} END"
+
+
+_N = "CAST(doc_id AS STRING)"
+_SELECTED = _case(f"doc_id % {len(CONTENT)}", [_selected(c, f"'<p>body ' || {_N} || '<nav>menu</nav>'") for c in CONTENT[:-1]], f"'<p>body ' || {_N}")
+_SAID = _case(f"doc_id % {len(COMMENTS)}", [_selected(c, f"'<p>said ' || {_N} || '<p>'") for c in COMMENTS], "''")
+_TYPED = _case("doc_id % 13", [f"""'<script type="application/ld+json">{{"@type": "{k}"}}</script>'""" for k in TYPE_FLAGS], "''")
+_AD = _case("doc_id % 17", [f"""'<script src="https://a.example/{AD_SIGNS[0]}.js"></script>'"""] + [f"'<script>x = \"{a}\";</script>'" for a in AD_SIGNS[1:]], "''")
+#: A page for each document whose every part follows from its number: selectors, declared type, ads, paywall, numbered headings, features, embeds. Without comments and embeds where the whole body is the content.
+_KINDS = f"""concat('<!DOCTYPE html><html><head><title>t ', {_N}, '</title>', {_TYPED}, {_AD},
+CASE WHEN doc_id % 3 = 0 THEN '<script type="application/ld+json">{{"hasPart": {{"isAccessibleForFree": false}}}}</script>' ELSE '' END,
+CASE WHEN doc_id % 5 < 3 THEN concat('<link rel="canonical" href="https://c.example/', {_N}, '">') ELSE '<link rel="canonical" href="/none">' END,
+CASE WHEN doc_id % 6 = 2 THEN '<meta name="generator" content="Discourse 2">' ELSE '' END, '<link rel="stylesheet" href="../s.css"></head><body>', {_SELECTED},
+CASE WHEN doc_id % {len(CONTENT)} = {len(CONTENT) - 1} THEN '' ELSE concat({_SAID}, CASE WHEN doc_id % 7 = 0 THEN '<h3>1. a</h3><h3>2. b</h3><h3>3. c</h3><h3>4: d</h3>' ELSE '<h3>1. a</h3><h3>2. b</h3>' END,
+CASE WHEN doc_id % 2 = 0 THEN '<code>x</code>' ELSE '' END, CASE WHEN doc_id % 4 = 1 THEN '<span class="MathJax">y</span>' ELSE '' END,
+repeat('<blockquote class="twitter-tweet">z</blockquote>', CAST(doc_id % 3 AS INT)), repeat('<img src="/i.gif">', CAST(doc_id % 4 AS INT))) END, '</body></html>')"""
+_WHOLE_BODY = f"doc_id % {len(CONTENT)} = {len(CONTENT) - 1}"
+
+
+def _or(parts: list[str]) -> str:
+    return " | ".join(f"({p})" for p in parts)
+
+
+_KIND_FLAGS = _or(
+    [
+        _case("doc_id % 13", [str(int(f)) for f in TYPE_FLAGS.values()], "0"), f"CASE WHEN doc_id % 17 < {len(AD_SIGNS)} THEN {int(bitmask.DocumentFlag.ADS)} ELSE 0 END",
+        f"CASE WHEN doc_id % 3 = 0 THEN {int(bitmask.DocumentFlag.PAYWALLED)} ELSE 0 END", f"CASE WHEN doc_id % 7 = 0 AND NOT {_WHOLE_BODY} THEN {int(bitmask.DocumentFlag.LISTICLE)} ELSE 0 END",
+    ]
+)
+_KIND_FEATURES = _or([f"CASE WHEN {w} THEN {int(f)} ELSE 0 END" for w, f in ((f"doc_id % 2 = 0 AND NOT {_WHOLE_BODY}", bitmask.DocumentFeature.CODE), (f"doc_id % 4 = 1 AND NOT {_WHOLE_BODY}", bitmask.DocumentFeature.MATH), ("doc_id % 6 = 2", bitmask.DocumentFeature.FORUM))])
+
+
+@query(
+    f"""SELECT doc_id, 't ' || doc_id AS title, 'body ' || doc_id AS content, CASE WHEN {_WHOLE_BODY} THEN '' ELSE 'said ' || doc_id END AS comments,
+CASE WHEN doc_id % 5 < 3 THEN 'https://c.example/' || doc_id END AS canonical, CAST({_KIND_FLAGS} AS BIGINT) AS flags, CAST({_KIND_FEATURES} AS BIGINT) AS features,
+CAST(CASE WHEN {_WHOLE_BODY} THEN 0 ELSE doc_id % 3 END AS INTEGER) AS tweets, CAST(CASE WHEN {_WHOLE_BODY} THEN 0 ELSE doc_id % 4 END AS INTEGER) AS gifs,
+CASE WHEN doc_id % 17 = 0 THEN 'https://a.example/{AD_SIGNS[0]}.js' ELSE '' END AS scripts, 'https://p.example/s.css' AS styles FROM documents"""
+)
+def page_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Every content and comment selector, declared type, ad sign and feature on pages made from the documents' numbers."""
+    pages = t(spark, d, "documents").select(F.concat(F.lit("https://p.example/d/"), F.col("doc_id").cast("string")).alias("uri"), F.expr(_KINDS).alias("html"))
+    texts = ["title", "content", "comments", "canonical", "flags", "features", "tweets", "gifs"]
+    joined = [F.array_join(c, ",").alias(c) for c in ("scripts", "styles")]
+    return signals.signals(pages).select(F.regexp_extract("uri", r"(\d+)$", 1).cast("long").alias("doc_id"), *texts, *joined)
+
+
+_DOCUMENT_U = _U.replace("SELECT id, " + _STRIP, "SELECT doc_id AS id, " + _STRIP).replace("FROM discovery", "FROM documents")
+
+
+@query(_DOCUMENT_U + f"SELECT DISTINCT uri, lower(scheme) || '//' || authority || '/home' AS target FROM p WHERE {_ACCEPTABLE}")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     return signals.emitted_links(signals.document_flags(signals.signals(_pages(spark, d))))
 
