@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.arrays import cardinality, increased, is_ancestor
-from webloom.session import ensure_checkpoint_dir
+from webloom.plans.written import written
+
+#: Rounds after which the parts of a result are merged.
+COMPACT = 6
 
 
 def page_edges(edges: DataFrame, discovery: DataFrame) -> DataFrame:
@@ -32,24 +36,30 @@ def incoming_distance(discovery: DataFrame) -> DataFrame:
 def relax_distances(distances: DataFrame, edges: DataFrame, slots: int, max_rounds: int | None = None) -> DataFrame:
     """node, slot, hops: the fixpoint of hops over edges (src, dst) from the rows given, as one row for each reached slot.
 
-    Each round extends only what was improved in the last one, counts the new rows, and
-    cuts the lineage in the shared checkpoint folder. Cycles and repeated edges do no harm.
+    Each round extends only what was improved in the last one and appends it to what is known; every COMPACT rounds the
+    parts are merged into one. Rounds are written tables in the shared folder: their size is known to the planner,
+    so a small frontier is broadcast to the edges, and only a large one has them exchanged. Cycles and repeated edges do no harm.
     A bound on the rounds that is met before the fixpoint is an error.
     """
-    ensure_checkpoint_dir(distances.sparkSession)
-    best = distances.where("hops is not null").groupBy("node", "slot").agg(F.min("hops").alias("hops")).checkpoint()
-    frontier = best
-    steps = edges.where("src is not null and dst is not null").select("src", "dst").distinct().checkpoint()
+    frontier = written(_nearest(distances.where("hops is not null").select("node", "slot", F.col("hops").cast("int").alias("hops"))))
+    parts = [frontier]
+    steps = written(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     for done in count():
-        met = frontier.join(steps, frontier["node"] == steps["src"]).groupBy(F.col("dst").alias("node"), "slot").agg((F.min("hops") + 1).cast("int").alias("hops"))
-        known = best.withColumnRenamed("hops", "known")
-        frontier = met.join(known, ["node", "slot"], "left").where("known is null or hops < known").select("node", "slot", "hops").checkpoint()
+        met = _nearest(frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node"), "slot", (F.col("hops") + 1).alias("hops")))
+        known = _nearest(reduce(DataFrame.unionByName, parts)).withColumnRenamed("hops", "known")
+        frontier = written(met.join(known, ["node", "slot"], "left").where("known is null or hops < known").select("node", "slot", "hops"))
         if frontier.isEmpty():
             break
         if done == max_rounds:
             raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-        best = best.unionByName(frontier).groupBy("node", "slot").agg(F.min("hops").alias("hops")).checkpoint()
-    return best
+        parts.append(frontier)
+        if len(parts) > COMPACT:
+            parts = [written(_nearest(reduce(DataFrame.unionByName, parts)))]
+    return _nearest(reduce(DataFrame.unionByName, parts))
+
+
+def _nearest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("node", "slot").agg(F.min("hops").alias("hops"))
 
 
 def as_vectors(best: DataFrame, slots: int) -> DataFrame:
@@ -89,16 +99,18 @@ def reverse_closure(neighbours: DataFrame, start: DataFrame, max_rounds: int | N
 
     A bound on the levels that is met before the end is an error.
     """
-    ensure_checkpoint_dir(neighbours.sparkSession)
     kind = neighbours.schema["src"].dataType
-    seen = start.select(F.col("node").cast(kind).alias("node")).distinct().withColumn("level", F.lit(0)).withColumn("parent", F.lit(None).cast(kind)).checkpoint()
-    frontier, steps = seen, neighbours.checkpoint()
+    frontier = written(start.select(F.col("node").cast(kind).alias("node")).distinct().withColumn("level", F.lit(0)).withColumn("parent", F.lit(None).cast(kind)))
+    parts, steps = [frontier], written(neighbours)
     for level in count(1):
         met = frontier.select(F.col("node").alias("dst")).join(steps, "dst").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("parent"))
-        frontier = met.join(seen, "node", "left_anti").select("node", F.lit(level).alias("level"), "parent").checkpoint()
+        seen = reduce(DataFrame.unionByName, parts).select("node")
+        frontier = written(met.join(seen, "node", "left_anti").select("node", F.lit(level).alias("level"), "parent"))
         if frontier.isEmpty():
             break
         if max_rounds is not None and level > max_rounds:
             raise RuntimeError(f"more than {max_rounds} levels")
-        seen = seen.unionByName(frontier).checkpoint()
-    return seen
+        parts.append(frontier)
+        if len(parts) > COMPACT:
+            parts = [written(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, parts)
